@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, fingerprints, jaccard, substrings
+from tidewater.llm import bpe, chat, decontamination, fingerprints, jaccard, substrings, toxicity, url_filters
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,10 +22,44 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_words(_table(spark, sf_dir, "documents"), 50).drop("kept_text")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    entries, beta = toxicity.fit(docs, labels)
+    rows = toxicity.scores(docs, entries, beta)
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated events of a block list of sites and an allow list of their English sections, drawn from the pages' own hosts."""
+    host = url_filters.host_of(F.col("url"))
+    sites = pages.select(F.regexp_replace(host, r"^(www|blog|m)\.", "").alias("site")).distinct().where("site <> ''")
+    sites = sites.withColumn("h", F.conv(F.substring(F.md5("site"), 1, 4), 16, 10).cast("int"))
+    event = lambda kind, key, day, action, when: (
+        sites.where(when).select(F.lit(kind).alias("list"), F.expr(key).alias("key"), F.expr(f"date_add(DATE'2024-01-01', {day})").alias("at"), F.lit(action).alias("action"))
+    )
+    return (
+        event("block", "site", "h % 200", "add", "h % 3 <> 2")
+        .union(event("block", "site", "h % 200 + 60", "remove", "h % 3 <> 2 AND h % 2 = 0"))
+        .union(event("block", "site", "h % 200 + 120", "add", "h % 3 <> 2 AND h % 4 = 0"))
+        .union(event("allow", "concat(site, '/en')", "h % 150", "add", "h % 5 = 0"))
+    )
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 37, 365) AS INT))"))
+    return url_filters.verdicts(captures, list_events(pages)).select("page_id", "host", F.col("fetched_at").cast("string").alias("fetched_at"), "n_active", "entry", "entry_list", "blocked")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -43,7 +77,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_decontamination": op5_decontamination,
+    "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat": op10_chat,
@@ -68,3 +105,31 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|im_start|>') + length(safe_role) + 1 + length(safe_text) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLE_SQL["op7_url_filters"] = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS fetched_at,
+         lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages
+), s AS (
+  SELECT site, CAST('0x' || substr(md5(site), 1, 4) AS INTEGER) AS h
+  FROM (SELECT DISTINCT regexp_replace(host, '^(www|blog|m)\.', '') AS site FROM p) WHERE site <> ''
+), events AS (
+  SELECT 'block' AS list, site AS key, DATE '2024-01-01' + h % 200 AS at, 'add' AS action FROM s WHERE h % 3 <> 2
+  UNION ALL SELECT 'block', site, DATE '2024-01-01' + (h % 200 + 60), 'remove' FROM s WHERE h % 3 <> 2 AND h % 2 = 0
+  UNION ALL SELECT 'block', site, DATE '2024-01-01' + (h % 200 + 120), 'add' FROM s WHERE h % 3 <> 2 AND h % 4 = 0
+  UNION ALL SELECT 'allow', site || '/en', DATE '2024-01-01' + h % 150, 'add' FROM s WHERE h % 5 = 0
+), state AS (
+  SELECT p.page_id, p.host, p.fetched_at, e.list, e.key, arg_max(e.action, (e.at, e.action)) AS action
+  FROM p JOIN events e ON e.at <= p.fetched_at
+   AND ((NOT contains(e.key, '/') AND (p.host = e.key OR ends_with(p.host, '.' || e.key)))
+     OR (contains(e.key, '/') AND len(p.parts) > 0 AND starts_with(lower(p.host || '/' || array_to_string(p.parts, '/')) || '/', e.key || '/')))
+  GROUP BY ALL
+), best AS (
+  SELECT page_id, count(*) AS n_active, max((length(key), list, key)) AS b FROM state WHERE action = 'add' GROUP BY page_id
+)
+SELECT p.page_id, p.host, CAST(p.fetched_at AS VARCHAR) AS fetched_at, coalesce(n_active, 0) AS n_active,
+       b[3] AS entry, b[2] AS entry_list, coalesce(b[2] = 'block', false) AS blocked
+FROM p LEFT JOIN best USING (page_id)
+"""
