@@ -22,7 +22,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from tidewater.llm.kernels import pieces
 
@@ -180,13 +179,13 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, text: str | Column = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (binary, unsigned 32-bit little-endian) in place of nothing.
+def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """All columns of docs but text, and ``token_ids`` (binary, unsigned 32-bit little-endian) for it.
 
-    A null text has no ids. All columns stay; a column named token_ids is replaced.
+    A null text has no ids. A column named token_ids is replaced.
     """
-    keep = [c for c in docs.columns if c != "token_ids"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("token_ids"))
+    keep = [c for c in docs.columns if c not in ("text", "token_ids")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("token_ids"))
     schema = source.schema
     out = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-1]] + ["token_ids binary"]
 

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontamination, fingerprints, jaccard, substrings, token_files, toxicity, url_filters
+from tidewater.llm import bpe, chat, decontamination, fingerprints, jaccard, substrings, suffix_tree, token_files, toxicity, url_filters
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -42,6 +43,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffix_tree.score(_table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
+
+
 def list_events(pages: DataFrame) -> DataFrame:
     """Dated events of a block list of sites and an allow list of their English sections, drawn from the pages' own hosts."""
     host = url_filters.host_of(F.col("url"))
@@ -65,7 +71,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
