@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from tidewater.llm.kernels import BASE_A, BASE_B, binary, flat_rows, hash_words, is_in, pieces, signed, sliding_min, window_hashes
 from tidewater.llm.scratch import Scratch
@@ -47,39 +48,67 @@ def _found(raw: bytes | None) -> np.ndarray:
     return np.sort(np.frombuffer(raw or b"", ">i8").astype(np.int64).view(np.uint64))
 
 
-def _packed(column: str) -> F.Column:
-    """A list of longs as one binary value, eight bytes each."""
-    return F.unhex(F.concat_ws("", F.collect_list(F.lpad(F.hex(column), 16, "0"))))
+def _hex(*columns: str) -> F.Column:
+    return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in columns])
 
 
-def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that stand in more than one document, with the least doc_id; sums are taken before the shuffle."""
-    return rows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+def _packed(column: F.Column) -> F.Column:
+    """A list of hexadecimal values as one binary value; nulls are left out."""
+    return F.unhex(F.concat_ws("", F.collect_list(column)))
 
 
-def _emit(docs: DataFrame, window: int, lengths: list[int], make: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str]) -> DataFrame:
-    """(doc_id, values) of the surviving windows of each document; docs has doc_id, text and the lists kept so far."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """Hashes that stand in more than one document, with the least doc_id; they are gathered before the shuffle."""
+    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+
+
+def _whole(words: list[bytes]) -> bytes:
+    """The name of a whole sequence of words; its last bit is set, which tells it from a short run's."""
+    name = bytearray(xxh3_128_digest(b" ".join(words)))
+    name[15] |= 1
+    return bytes(name)
+
+
+def _is_copy(words: list[bytes], copies: bytes | None) -> bool:
+    return bool(copies) and any(copies[i : i + 16] == _whole(words) for i in range(0, len(copies), 16))
+
+
+def _emit(docs: DataFrame, window: int, lengths: list[int], make: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, h, g) of the surviving windows of each document.
+
+    docs has doc_id, text and, after the first level, copies and the hashes kept at each level so far.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 8_000_000):
             ids, texts = b.column(0).to_pylist(), binary(b.column(1))
-            lists = [b.column(i).to_pylist() for i in range(2, b.num_columns)]
+            copies, *lists = [b.column(i).to_pylist() for i in range(2, b.num_columns)] or [[None] * b.num_rows]
             out_ids, parts = [], []
             for k, text in enumerate(texts):
                 words = text.split()
-                if len(words) < window:
+                if len(words) < window or _is_copy(words, copies[k]):
                     continue
                 h = hash_words(words)
                 alive = _survivors(h, [_found(x[k]) for x in lists], lengths, window)
                 if alive.any():
                     out_ids.append(ids[k])
-                    parts.append(make(h, alive))
+                    parts.append(make(words, h, alive))
             if parts:
                 doc_id, values = flat_rows(out_ids, parts)
-                values = values.reshape(len(doc_id), -1)
-                yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(signed(values[:, c])) for c in range(len(columns)))], names=["doc_id", *columns])
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(signed(values[:, 0])), pa.array(signed(values[:, 1]))], names=["doc_id", "h", "g"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, g long")
+
+
+def _short(h: np.ndarray, alive: np.ndarray, length: int, window: int) -> np.ndarray:
+    """The minimizers of the windows that are alive, once each, as pairs with 0."""
+    least = np.unique(_minimizers(h, length, window)[alive])
+    return np.stack([least, np.zeros_like(least)], axis=1)
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
+
+def _first(words: list[bytes], h: np.ndarray, alive: np.ndarray, length: int, window: int) -> np.ndarray:
+    """The minimizers, and the name of the whole text to tell copies."""
+    return np.concatenate([_short(h, alive, length, window), np.frombuffer(_whole(words), ">u8").astype(np.uint64).reshape(1, 2)])
 
 
 def _full(h: np.ndarray, alive: np.ndarray, window: int) -> np.ndarray:
@@ -89,27 +118,39 @@ def _full(h: np.ndarray, alive: np.ndarray, window: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Per document: the windows (``found``, 16 bytes each) that also start in a document of smaller doc_id."""
+    """(doc_id, copies, found): names of whole texts, and hashes of windows, that also start in a document of smaller doc_id.
+
+    A copy of a whole text needs no windows of its own: all of them start in the first such text too.
+    """
     lengths = levels(window)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    left, done = source, []
-    for step, length in enumerate(lengths[:-1]):
-        rows = scratch.write(_emit(left, window, lengths[:step], lambda h, alive, n=length: np.unique(_minimizers(h, n, window)[alive]), ["h"]), f"level{step}")
-        mine = rows.join(_shared(rows, ["h"]).select("h"), "h", "left_semi").groupBy("doc_id").agg(_packed("h").alias(f"kept{step}"))
+    rows = scratch.write(_emit(source, window, [], lambda words, h, alive: _first(words, h, alive, lengths[0], window)), "level0")
+    mine = (
+        rows.join(_shared(rows), ["h", "g"])
+        .groupBy("doc_id")
+        .agg(
+            _packed(F.when((F.col("g") != 0) & (F.col("least") < F.col("doc_id")), _hex("h", "g"))).alias("copies"),
+            _packed(F.when(F.col("g") == 0, _hex("h"))).alias("kept0"),
+        )
+    )
+    left, done = scratch.write(source.join(mine, "doc_id"), "candidates"), ["kept0"]
+    copies = left.where("length(copies) > 0").select("doc_id", "copies", F.lit(None).cast("binary").alias("found"))
+    for step, length in enumerate(lengths[1:-1], 1):
+        rows = scratch.write(_emit(left, window, lengths[:step], lambda words, h, alive, n=length: _short(h, alive, n, window)), f"level{step}")
+        mine = rows.join(_shared(rows), ["h", "g"], "left_semi").groupBy("doc_id").agg(_packed(_hex("h")).alias(f"kept{step}"))
         left = left.join(mine, "doc_id")
         done.append(f"kept{step}")
-        if step == 0:
-            left = scratch.write(left, "candidates")
-    rows = scratch.write(_emit(left.select("doc_id", "text", *done), window, lengths[:-1], lambda h, alive: _full(h, alive, window), ["h", "g"]), "windows")
-    least = _shared(rows, ["h", "g"])
-    return rows.join(least, ["h", "g"]).where("least < doc_id").groupBy("doc_id").agg(F.unhex(F.concat_ws("", F.collect_list(F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("g"), 16, "0"))))).alias("found"))
+    rows = scratch.write(_emit(left.select("doc_id", "text", "copies", *done), window, lengths[:-1], lambda words, h, alive: _full(h, alive, window)), "windows")
+    found = rows.join(_shared(rows), ["h", "g"]).where("least < doc_id").groupBy("doc_id").agg(_packed(_hex("h", "g")).alias("found"))
+    return copies.unionByName(found.withColumn("copies", F.lit(None).cast("binary"))).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("found").alias("found"))
 
 
-def _covered(words: list[bytes], found: bytes | None, window: int) -> np.ndarray:
+def _covered(words: list[bytes], copies: bytes | None, found: bytes | None, window: int) -> np.ndarray:
     """Which words stand in a window that is found."""
-    out = np.zeros(len(words), bool)
+    if _is_copy(words, copies):
+        return np.ones(len(words), bool)
     if not found or len(words) < window:
-        return out
+        return np.zeros(len(words), bool)
     pairs = np.frombuffer(found, ">i8").astype(np.int64).view(np.uint64).reshape(-1, 2)
     h = hash_words(words)
     a, b = window_hashes(h, window, BASE_A), window_hashes(h, window, BASE_B)
@@ -139,9 +180,9 @@ def kept_words(docs: DataFrame, window: int = 50, scratch: Scratch | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 8_000_000):
             out: list[list] = [[], [], [], []]
-            for text, some in zip(binary(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, copies, some in zip(binary(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = (text or b"").split()
-                covered = _covered(words, some, window)
+                covered = _covered(words, copies, some, window)
                 kept = b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
                 gone = int(covered.sum())
                 for column, value in zip(out, (len(words), gone, kept if gone else text, hashlib.sha256(kept).hexdigest()), strict=True):
@@ -149,25 +190,27 @@ def kept_words(docs: DataFrame, window: int = 50, scratch: Scratch | None = None
             columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return source.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return source.join(found, "doc_id", "left").select("doc_id", "text", "copies", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """The same rows and columns, with each text without the words that kept_words() removes."""
-    found = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "substrings")).withColumnRenamed("found", "__found").withColumnRenamed("doc_id", "__doc_id")
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").select(*[docs[c] for c in docs.columns], "__found")
+    found = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "substrings")).select(F.col("doc_id").alias("__doc_id"), F.col("copies").alias("__copies"), F.col("found").alias("__found"))
+    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").select(*[docs[c] for c in docs.columns], "__copies", "__found")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 8_000_000):
             texts = binary(b.column(at))
-            for k, some in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if some:
+            for k, (copies, some) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                if (copies or some) and texts[k] is not None:
                     words = texts[k].split()
-                    covered = _covered(words, some, window)
+                    covered = _covered(words, copies, some, window)
+                    if not covered.any():
+                        continue
                     texts[k] = b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
-            columns = list(b.columns[:-1])
+            columns = list(b.columns[:-2])
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
 
     return rows.mapInArrow(run, docs.schema)
