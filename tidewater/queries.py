@@ -516,3 +516,73 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY h) AS i, CAST(c
 def duty_cycle_minutes(spark: SparkSession, d: str) -> DataFrame:
     hours = table(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count_if(F.col("value") > 100).alias("wet"))
     return _listed(trackers.series(hours, KEY, ["h"], "wet"), trackers.duty_cycle(F.col("series")), "full")
+
+
+# -- detectors: kernels that SQL can't express; tests hold them against closed forms ------------------
+
+
+def _clips(spark: SparkSession, d: str, repeats: int = 40) -> DataFrame:
+    clips = table(spark, d, "embeddings").select(F.col("vec_id").alias("source_file"), F.flatten(F.array_repeat("embedding", repeats)).alias("clip"), (F.col("label") < 5).alias("raining"))
+    return clips.withColumn("clip", F.transform("clip", lambda x: x.cast("double")))
+
+
+@query()
+def detector_frames(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.exploded(detectors.rain_frames(_clips(spark, d)))
+    return rows.select("source_file", "frame", r6(F.col("times"), "time"), "frame_class", "rain_conf", r6(F.col("total_flux"), "total_flux"))
+
+
+@query()
+def detector_clip_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    return detectors.rain_metrics(detectors.rain_frames(_clips(spark, d)))
+
+
+@query()
+def noise_suppression(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.cleaned(_clips(spark, d))
+    return rows.select("source_file", r6(F.col("noise_db"), "noise_db"), r6(F.col("mean_gain"), "mean_gain"), r6(C.energy("clean"), "energy"))
+
+
+@query()
+def band_noise_frames(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    frames = detectors.band_noise(_clips(spark, d))
+    return detectors.band_noise_summary(frames, ["source_file"]).select("source_file", "frames", "rain_frames", r6(F.col("total_energy"), "total_energy"), r6(F.col("median_noise"), "median_noise"), "least_buffered", "underflows")
+
+
+@query()
+def novelty_clip_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    return detectors.novelty_metrics(_clips(spark, d, 180)).select("source_file", "drops", "pulses", r6(F.col("base_hz"), "base_hz"), "is_rain")
+
+
+@query()
+def batch_processors(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.plans import batch
+
+    rows = batch.process(_clips(spark, d), [batch.rain_processor(), batch.noise_processor()])
+    return rows.select("source_file", "raining", "predicted", "mismatch", "rain__rain_drops", r6(F.col("noise__floor_median_db"), "noise__floor_median_db"))
+
+
+def _loud(x, params) -> bool | None:  # noqa: ANN001
+    return bool((x**2).mean() > params["threshold"])
+
+
+@query("""
+WITH e AS (SELECT label < 5 AS a, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / 64 AS e FROM embeddings),
+p AS (SELECT a, threshold, e > threshold AS p FROM e, (VALUES (0.01), (0.015625), (0.02)) v(threshold))
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) AS n, count(*) FILTER (WHERE a AND p) AS tp, count(*) FILTER (WHERE NOT a AND NOT p) AS tn,
+ count(*) FILTER (WHERE NOT a AND p) AS fp, count(*) FILTER (WHERE a AND NOT p) AS fn FROM p GROUP BY threshold""")
+def grid_eval(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.plans import batch
+
+    rows = batch.grid_search(spark, _clips(spark, d, 1), {"threshold": [0.01, 0.015625, 0.02]}, _loud)
+    return rows.select("threshold", "n", "tp", "tn", "fp", "fn")
