@@ -22,34 +22,47 @@ from tidewater.llm.kernels import hash_words, pieces
 
 SAMPLES = 128
 _STEP = 16  # samples computed at once
-_ROWS = 60_000  # terms gathered at once
+_ROWS, _TERMS = 8_000, 4_000  # gathered and computed at once, to stay in a core's cache
 _SEED = 0xD1B54A32D192ED03
 
 
-def _uniforms(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two float32 in (0, 1) from each 64-bit key."""
+def _uniforms(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three float32 in (0, 1) from each 64-bit key."""
     x = key * np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(29)
-    scale, half = np.float32(2.0**-24), np.float32(2.0**-25)
-    return (x >> np.uint64(40)).astype(np.float32) * scale + half, ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * scale + half
+    scale, half, low = np.float32(2.0**-21), np.float32(2.0**-22), np.uint64(0x1FFFFF)
+    out = []
+    for shift in (43, 22, 1):
+        u = ((x >> np.uint64(shift)) & low).astype(np.uint32).astype(np.float32)
+        u *= scale
+        u += half
+        out.append(u)
+    return out[0], out[1], out[2]
 
 
 def _keys(term: np.ndarray, log_w: np.ndarray, first: int, last: int) -> np.ndarray:
     """For each term and sample: the key's order in the high half, the sample's name in the low half."""
     seed = (np.arange(first, last, dtype=np.uint64) * np.uint64(3) + np.uint64(1)) * np.uint64(_SEED)
     key = term[:, None] ^ seed[None, :]
-    u1, u2 = _uniforms(key)
-    u3, u4 = _uniforms(key + np.uint64(_SEED >> 7))
-    beta, _ = _uniforms(key + np.uint64(_SEED >> 9))
-    r = -np.log(u1 * u2)
+    u1, u2, beta = _uniforms(key)
+    u3, u4, _ = _uniforms(key + np.uint64(_SEED >> 7))
+    u1 *= u2
+    r = np.log(u1, out=u1)
+    np.negative(r, out=r)
     t = np.floor(log_w[:, None] / r + beta)
-    log_a = np.log(-np.log(u3 * u4)) - r * (t - beta) - r
+    u3 *= u4
+    log_a = np.log(-np.log(u3, out=u3))
+    log_a -= r * (t - beta + np.float32(1))
     bits = log_a.view(np.uint32)
     order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-    name = (key + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    return order << np.uint64(32) | name >> np.uint64(32)
+    order <<= np.uint64(32)
+    key += t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key *= np.uint64(0xFF51AFD7ED558CCD)
+    key >>= np.uint64(32)
+    order |= key
+    return order
 
 
 def signatures(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
@@ -72,8 +85,8 @@ def signatures(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
     for k in range(0, samples, _STEP):
         last = min(k + _STEP, samples)
         keys = np.empty((len(term), last - k), np.uint64)
-        for a in range(0, len(term), 50_000):
-            keys[a : a + 50_000] = _keys(term[a : a + 50_000], log_w[a : a + 50_000], k, last)
+        for a in range(0, len(term), _TERMS):
+            keys[a : a + _TERMS] = _keys(term[a : a + _TERMS], log_w[a : a + _TERMS], k, last)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             least = np.minimum.reduceat(keys[place[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
             out[full[a:b], k:last] = (least & np.uint64(0xFFFF)).astype(np.uint16)
