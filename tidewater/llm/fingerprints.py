@@ -105,7 +105,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("double").alias("x")).where("x IS NOT NULL")
     cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]  # two buckets at least
     dealer = Bucketizer(splits=splits, inputCol="x", outputCol="bucket", handleInvalid="keep")
     rows = dealer.transform(docs.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))))
     # ranges count from the largest ids on; rows without an id stand last
@@ -113,7 +113,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     heads = {r.part: r.head for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
     before = {p: order[k - 1] for k, p in enumerate(order)}
-    guards = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])]) if order else F.create_map()
+    guards = F.create_map(*[F.lit(x) for p in order or [0] for x in (p, before.get(p, p))])
     first = F.coalesce(F.col("doc_id").isin([heads[p] for p in order if heads[p] is not None]), F.lit(True))
     return rows.withColumn(
         "to",
