@@ -139,3 +139,59 @@ def config_name(config: object) -> str:
     from tidewater.sources.sinks import param_hash
 
     return param_hash(asdict(config))
+
+
+# -- features -----------------------------------------------------------------------------------------
+
+TD_FIELDS = ("time", "crest", "kurtosis", "block_crest", "block_width", "post_pre", "rise_time", "fall_time", "rise_slope", "fall_slope", "peak_level", "energy", "soft_score", "soft_label")
+SPECTRAL_FIELDS = ("centroid", "bandwidth", "low_ratio", "rain_ratio", *(f"mode_ratio_{i}" for i in range(5)), "mode_entropy", "mode_std", "mode_max", "flatness", "rolloff", "dominant", "energy", *(f"cepstrum_{i}" for i in range(5)))
+
+
+def _frame_rows(clips: DataFrame, names: Sequence[str], make: Kernel, key: str) -> DataFrame:
+    """A row per frame from a kernel that gives one array per name."""
+    d = pa.float64()
+    wide = per_clip(clips, lambda x: {n: np.asarray(v, float) for n, v in make(x).items()}, [(n, _list(d), "array<double>") for n in names], key)
+    return wide.select(key, F.posexplode(F.arrays_zip(*names)).alias("frame", "x")).select(key, "frame", "x.*")
+
+
+def td_features(clips: DataFrame, rate: float = 11162, frame: int = 256, hop: int = 128, mode: str = "default", key: str = "source_file") -> DataFrame:
+    from tidewater.functions import features
+
+    return _frame_rows(clips, TD_FIELDS, lambda x: {k: v for k, v in features.td_features(x, rate, frame, hop, mode).items() if k in TD_FIELDS}, key)
+
+
+def _power(x: np.ndarray, config: D.FrameConfig) -> tuple[np.ndarray, np.ndarray]:
+    from tidewater.functions import dsp
+
+    power = np.abs(dsp.stft(x, config.n_fft, config.hop)) ** 2
+    return power, np.arange(power.shape[1]) * config.rate / config.n_fft
+
+
+def spectral_features(clips: DataFrame, config: D.FrameConfig = D.FrameConfig(), key: str = "source_file") -> DataFrame:
+    from tidewater.functions import features
+
+    return _frame_rows(clips, SPECTRAL_FIELDS, lambda x: features.spectral_features(*_power(x, config), band=config.band), key)
+
+
+def occupancy(clips: DataFrame, config: D.FrameConfig = D.FrameConfig(), key: str = "source_file") -> DataFrame:
+    """A row per clip and band: statistics of log power and power share over rain frames and the others."""
+    from tidewater.functions import features
+
+    stats = [f"{k}_{v}_{s}" for k in ("rain", "other") for v in ("log", "share") for s in ("mean", "std", "p50", "p90", "max")]
+    struct = pa.struct([("band", pa.string()), *((s, pa.float64()) for s in stats)])
+
+    def kernel(x: np.ndarray) -> dict:
+        return {"bands": features.occupancy(*_power(x, config), D.classify_frames(x, config)["frame_class"])}
+
+    made = per_clip(clips, kernel, [("bands", _list(struct), f"array<struct<band: string, {', '.join(f'{s}: double' for s in stats)}>>")], key)
+    return made.select(key, F.explode("bands").alias("x")).select(key, "x.*")
+
+
+def energy_pulses(clips: DataFrame, rate: float = 11162, key: str = "source_file") -> DataFrame:
+    """A row per pulse, the strongest of a clip first."""
+    from tidewater.functions import features
+
+    names = ("time_ms", "start_ms", "end_ms", "rise_ms", "decay_ms", "energy")
+    struct = pa.struct([(n, pa.float64()) for n in names])
+    made = per_clip(clips, lambda x: {"pulses": features.energy_pulses(x, rate)}, [("pulses", _list(struct), f"array<struct<{', '.join(f'{n}: double' for n in names)}>>")], key)
+    return made.select(key, F.posexplode("pulses").alias("rank", "x")).select(key, "rank", "x.*")

@@ -586,3 +586,35 @@ def grid_eval(spark: SparkSession, d: str) -> DataFrame:
 
     rows = batch.grid_search(spark, _clips(spark, d, 1), {"threshold": [0.01, 0.015625, 0.02]}, _loud)
     return rows.select("threshold", "n", "tp", "tn", "fp", "fn")
+
+
+@query()
+def td_frame_features(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.td_features(_clips(spark, d))
+    return rows.select("source_file", "frame", *[r6(F.col(c), c) for c in detectors.TD_FIELDS])
+
+
+@query()
+def spectral_frame_features(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.spectral_features(_clips(spark, d))
+    return rows.select("source_file", "frame", *[F.round(c, 4).alias(c) for c in detectors.SPECTRAL_FIELDS])
+
+
+@query()
+def clip_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.occupancy(_clips(spark, d))
+    return rows.select("source_file", "band", *[r6(F.col(c), c) for c in rows.columns[2:]])
+
+
+@query()
+def energy_pulse_list(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.operators import detectors
+
+    rows = detectors.energy_pulses(_clips(spark, d, 180))
+    return rows.select("source_file", "rank", *[r6(F.col(c), c) for c in rows.columns[2:]])
