@@ -134,6 +134,7 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
         )
     )
     left, done = scratch.write(source.join(mine, "doc_id"), "candidates"), ["kept0"]
+    scratch.drop("level0")
     copies = left.where("length(copies) > 0").select("doc_id", "copies", F.lit(None).cast("binary").alias("found"))
     for step, length in enumerate(lengths[1:-1], 1):
         rows = scratch.write(_emit(left, window, lengths[:step], lambda words, h, alive, n=length: _short(h, alive, n, window)), f"level{step}")
@@ -142,6 +143,10 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
         done.append(f"kept{step}")
     rows = scratch.write(_emit(left.select("doc_id", "text", "copies", *done), window, lengths[:-1], lambda words, h, alive: _full(h, alive, window)), "windows")
     found = rows.join(_shared(rows), ["h", "g"]).where("least < doc_id").groupBy("doc_id").agg(_packed(_hex("h", "g")).alias("found"))
+    copies = scratch.write(copies, "copies")
+    for k in range(1, len(lengths) - 1):
+        scratch.drop(f"level{k}")
+    scratch.drop("candidates")
     return copies.unionByName(found.withColumn("copies", F.lit(None).cast("binary"))).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("found").alias("found"))
 
 
