@@ -25,8 +25,9 @@ from tidewater.llm.kernels import hash_words, pieces
 SAMPLE = 8000
 #: Entries of the lexicon, at most.
 ENTRIES = 400
-#: An entry begins at least so many toxic texts of different kinds in the sample, and is this much likelier in them.
-LEAST_TEXTS, LEAST_LOG_ODDS = 3, 2.0
+#: An entry stands in at least so many toxic texts of different kinds in the sample, or this share of them, and is this much
+#: likelier in them; fewer texts would let words in that are toxic by chance.
+LEAST_TEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 4, 0.01, 2.5
 #: Beginnings of words that may become entries, in characters.
 BEGINNINGS = range(4, 9)
 THRESHOLD = 0.7
@@ -155,31 +156,30 @@ def choose_entries(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
     other: Counter[str] = Counter()
     toxic_kinds: set[int] = set()
     clean = 0
-    toxic: list[tuple[int, set[str]]] = []
-    pruned = False
+    pruned, least = False, LEAST_TEXTS
     for text, label in rows:
         if label:
             k, found = _kind(text), _beginnings(text)
             toxic_kinds.add(k)
-            toxic.append((k, found))
             for f in found:
                 groups[f].add(k)
             continue
         if not pruned:
-            groups = {f: g for f, g in groups.items() if len(g) >= LEAST_TEXTS}
+            least = max(LEAST_TEXTS, int(np.ceil(LEAST_SHARE * len(toxic_kinds))))
+            groups = {f: g for f, g in groups.items() if len(g) >= least}
             pruned = True
         clean += 1
         words = {w.strip(_STRIP) for w in set(text.lower().split())}
         other.update({f for w in words for f in (f"^{w}$", *(f"^{w[:n]}" for n in BEGINNINGS if len(w) >= n)) if f in groups})
     n = len(toxic_kinds)
-    odds = {f: float(np.log((len(g) + 0.5) / (n + 1)) - np.log((other[f] + 0.5) / (clean + 1))) for f, g in groups.items() if len(g) >= LEAST_TEXTS}
+    odds = {f: float(np.log((len(g) + 0.5) / (n + 1)) - np.log((other[f] + 0.5) / (clean + 1))) for f, g in groups.items() if len(g) >= least}
     odds = {f: w for f, w in odds.items() if w >= LEAST_LOG_ODDS}
     kept: dict[str, float] = {}
     counted: Counter[int] = Counter()
     while odds and len(kept) < ENTRIES:
         gain = {f: sum(counted[k] < 3 for k in groups[f]) * min(odds[f], 4.0) for f in odds}
         best = max(gain, key=lambda f: (gain[f], len(f), f))
-        if sum(counted[k] < 3 for k in groups[best]) < LEAST_TEXTS:
+        if sum(counted[k] < 3 for k in groups[best]) < least:
             break
         kept[best] = odds.pop(best)
         counted.update(groups[best])

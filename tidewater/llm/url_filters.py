@@ -71,13 +71,13 @@ def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
         listed = F.broadcast(listed)
     active = asked.join(listed, "key").where("since <= fetched_at AND (until IS NULL OR fetched_at < until)")
     rank = F.struct(F.length("key").alias("length"), F.col("list").alias("list"), F.col("key").alias("key"))
-    found = active.groupBy("url", "fetched_at").agg(F.count("*").alias("n_active"), F.max(rank).alias("best"))
+    found = active.groupBy("url", "fetched_at").agg(F.count("*").alias("__n"), F.max(rank).alias("__best"))
     rows = captures.join(found, ["url", "fetched_at"], "left")
     return rows.select(
         *[F.col(f"`{c}`") for c in captures.columns],
         F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
-        F.col("best.key").alias("entry"),
-        F.col("best.list").alias("entry_list"),
-        F.coalesce(F.col("best.list") == "block", F.lit(False)).alias("blocked"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"),
+        F.col("__best.key").alias("entry"),
+        F.col("__best.list").alias("entry_list"),
+        F.coalesce(F.col("__best.list") == "block", F.lit(False)).alias("blocked"),
     )
