@@ -1,30 +1,50 @@
-"""Sequential estimators over ordered frames, as folds inside the engine.
+"""Sequential estimators over ordered frames.
 
-Each takes one row per key with an array of values in order; ``series`` makes such arrays for clips, whose
-length is bounded. Streams without bounds use the same steps with kept state (tidewater.streaming).
+A stream of frames is dealt by key and sorted (Spark spills what memory can't hold); a kernel walks through it
+with the state of one key in memory, whatever the stream's length. The values of one key depend on one
+another in order, so a key is one task's work; streams that never end use kept state (tidewater.streaming).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Step = Callable[[float], float]
 
-def series(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, name: str = "series") -> DataFrame:
-    """Values of each key in order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return df.groupBy(*key).agg(F.transform(rows, lambda r: r[value].cast("double")).alias(name))
 
+def walk(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, make: Callable[[], Step], name: str) -> DataFrame:
+    """(key, order, i, name): what each key's own step makes of its values in order; i counts from 1.
 
-def _fold(values: Column, start: Column, step, emit) -> Column:  # noqa: ANN001
-    """Emits from the state before each value, then steps; gives the list of what was emitted."""
-    state = F.struct(start.alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(values, state, lambda a, x: F.struct(step(a.s, x).alias("s"), F.concat(a.out, F.array(emit(a.s, x))).alias("out")), lambda a: a.out)
-
-
-def quantile_baseline(values: Column, q: float, window: int, floor: float) -> Column:
+    A null value is passed as NaN.
+    """
+    rows = df.select(*key, *order, F.col(value).cast("double").alias("__x")).repartition(*key).sortWithinPartitions(*key, *order)
+    names = [*key, *order, "i", name]
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + f", i bigint, `{name}` double"
+    k = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        step: Step = make()
+        i = 0
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in range(k)), strict=True))
+            made, count = np.empty(b.num_rows), np.empty(b.num_rows, np.int64)
+            for r, (own, x) in enumerate(zip(keys, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).tolist(), strict=True)):
+                if own != now:
+                    now, step, i = own, make(), 0
+                i += 1
+                made[r], count[r] = step(x), i
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count), pa.array(made)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def quantile_baseline(q: float, window: int, floor: float) -> Callable[[], Step]:
     """Causal stochastic quantile: each value's baseline comes from the values before it.
 
     The step follows a running scale of the error; the baseline is never under the floor.
@@ -32,38 +52,70 @@ def quantile_baseline(values: Column, q: float, window: int, floor: float) -> Co
     window = max(3, window)
     eta = min(max(2 / (window + 1), 1e-4), 1.0)
     alpha = min(max(1 - eta, 0.0), 0.9999)
-    first = values[0]
-    start = F.struct(F.greatest(first, F.lit(floor)).alias("b"), F.greatest(F.abs(first), F.lit(floor)).alias("s"))
 
-    def step(s: Column, x: Column) -> Column:
-        scale = alpha * s.s + (1 - alpha) * F.abs(x - s.b)
-        move = eta * F.greatest(scale, F.lit(floor))
-        return F.struct(F.greatest(s.b + F.when(x >= s.b, q * move).otherwise(-(1 - q) * move), F.lit(floor)).alias("b"), scale.alias("s"))
+    def make() -> Step:
+        state: list[float] = []
+
+        def step(x: float) -> float:
+            if not state:
+                state[:] = max(x, floor), max(abs(x), floor)
+            b, s = state
+            s = alpha * s + (1 - alpha) * abs(x - b)
+            move = eta * max(s, floor)
+            state[:] = max(b + (q * move if x >= b else -(1 - q) * move), floor), s
+            return b
 
-    return _fold(values, start, step, lambda s, x: s.b)
+        return step
 
+    return make
 
-def asymmetric_average(values: Column, up: float = 0.6, down: float = 0.95) -> Column:
+
+def asymmetric_average(up: float = 0.6, down: float = 0.95) -> Callable[[], Step]:
     """Exponential average that follows rises and falls at different rates; never above the value itself."""
-    return F.aggregate(
-        values,
-        F.struct(F.lit(None).cast("double").alias("n"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: _grown(a, F.when(a.n.isNull(), x).otherwise(F.least(x, F.when(x > a.n, up * a.n + (1 - up) * x).otherwise(down * a.n + (1 - down) * x)))),
-        lambda a: a.out,
-    )
 
+    def make() -> Step:
+        state: list[float] = []
+
+        def step(x: float) -> float:
+            if state:
+                keep = up if x > state[0] else down
+                x = min(x, keep * state[0] + (1 - keep) * x)
+            state[:] = [x]
+            return x
 
-def _grown(a: Column, x: Column) -> Column:
-    return F.struct(x.alias("n"), F.concat(a.out, F.array(x)).alias("out"))
+        return step
 
+    return make
 
-def hold_mask(values: Column, rise: float, hold: int) -> Column:
+
+def hold_mask(rise: float, hold: int) -> Callable[[], Step]:
     """1 where a value exceeds the one before by ``rise``, and for ``hold`` values after."""
-    start = F.struct(F.lit(None).cast("double").alias("before"), F.lit(0).alias("left"))
-    hit = lambda s, x: F.coalesce(x - s.before >= rise, F.lit(False))
-    return _fold(values, start, lambda s, x: F.struct(x.alias("before"), F.when(hit(s, x), F.lit(hold)).otherwise(F.greatest(s.left - 1, F.lit(0))).alias("left")), lambda s, x: (hit(s, x) | (s.left > 0)).cast("double"))
 
+    def make() -> Step:
+        state: list[float] = [float("nan"), 0]
+
+        def step(x: float) -> float:
+            hit = x - state[0] >= rise
+            on = hit or state[1] > 0
+            state[:] = x, hold if hit else max(state[1] - 1, 0)
+            return float(on)
 
-def duty_cycle(minutes: Column) -> Column:
+        return step
+
+    return make
+
+
+def duty_cycle() -> Callable[[], Step]:
     """1 for each minute that is analysed in full: the minute before was positive; the first is not."""
-    return _fold(minutes, F.struct(F.lit(False).alias("wet")), lambda s, x: F.struct((x > 0).alias("wet")), lambda s, x: s.wet.cast("double"))
+
+    def make() -> Step:
+        wet = [False]
+
+        def step(x: float) -> float:
+            before = wet[0]
+            wet[0] = x > 0
+            return float(before)
+
+        return step
+
+    return make

@@ -472,12 +472,8 @@ def nonzero_statistics(spark: SparkSession, d: str) -> DataFrame:
 _N = "n AS (SELECT user_id, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
-def _series(spark: SparkSession, d: str) -> DataFrame:
-    return trackers.series(table(spark, d, "events"), KEY, ORDER, "value")
-
-
-def _listed(rows: DataFrame, made: F.Column, name: str) -> DataFrame:
-    return rows.select("user_id", F.posexplode(made).alias("i", name)).select("user_id", (F.col("i") + 1).cast("long").alias("i"), r6(F.col(name), name))
+def _walked(rows: DataFrame, order: list[str], value: str, make, name: str) -> DataFrame:  # noqa: ANN001
+    return trackers.walk(rows, KEY, order, value, make, name).select("user_id", "i", r6(F.col(name), name))
 
 
 @query(f"""WITH RECURSIVE {_N}, t AS (
@@ -487,14 +483,14 @@ def _listed(rows: DataFrame, made: F.Column, name: str) -> DataFrame:
   (1 - 2.0::DOUBLE / 31) * t.s + (2.0::DOUBLE / 31) * abs(t.x - t.b) FROM t JOIN n ON n.user_id = t.user_id AND n.i = t.i + 1)
 SELECT user_id, i, round(b, 6) AS baseline FROM t""")
 def quantile_tracker(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(_series(spark, d), trackers.quantile_baseline(F.col("series"), 0.2, 30, 1.0), "baseline")
+    return _walked(table(spark, d, "events"), ORDER, "value", trackers.quantile_baseline(0.2, 30, 1.0), "baseline")
 
 
 @query(f"""WITH RECURSIVE {_N}, t AS (SELECT user_id, i, x AS a FROM n WHERE i = 1
  UNION ALL SELECT n.user_id, n.i, least(n.x, CASE WHEN n.x > t.a THEN 0.6 * t.a + 0.4 * n.x ELSE 0.95 * t.a + 0.05 * n.x END) FROM t JOIN n ON n.user_id = t.user_id AND n.i = t.i + 1)
 SELECT user_id, i, round(a, 6) AS average FROM t""")
 def asymmetric_ema(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(_series(spark, d), trackers.asymmetric_average(F.col("series")), "average")
+    return _walked(table(spark, d, "events"), ORDER, "value", trackers.asymmetric_average(), "average")
 
 
 @query(f"SELECT event_id, CASE WHEN count(*) OVER w < 10 THEN 0 ELSE round(quantile_cont(value, 0.3) OVER w, 6) END AS noise FROM events WINDOW w AS {_W} ROWS 29 PRECEDING)")
@@ -508,14 +504,14 @@ def ring_buffer_quantile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_N}, h AS (SELECT user_id, i, coalesce(x - lag(x) OVER (PARTITION BY user_id ORDER BY i) >= 150, false) AS hit FROM n)
 SELECT user_id, i, CAST(max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS 2 PRECEDING) AS DOUBLE) AS mask FROM h""")
 def hold_counter_mask(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(_series(spark, d), trackers.hold_mask(F.col("series"), 150.0, 2), "mask")
+    return _walked(table(spark, d, "events"), ORDER, "value", trackers.hold_mask(150.0, 2), "mask")
 
 
 @query("""WITH m AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) FILTER (WHERE value > 100) AS wet FROM events GROUP BY ALL)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY h) AS i, CAST(coalesce(lag(wet) OVER (PARTITION BY user_id ORDER BY h) > 0, false) AS DOUBLE) AS "full" FROM m""")
 def duty_cycle_minutes(spark: SparkSession, d: str) -> DataFrame:
     hours = table(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count_if(F.col("value") > 100).alias("wet"))
-    return _listed(trackers.series(hours, KEY, ["h"], "wet"), trackers.duty_cycle(F.col("series")), "full")
+    return _walked(hours, ["h"], "wet", trackers.duty_cycle(), "full")
 
 
 # -- detectors: kernels that SQL can't express; tests hold them against closed forms ------------------
