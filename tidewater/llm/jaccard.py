@@ -9,6 +9,9 @@
    with the hub, their residuals must have about half of the smaller one in common, so a prefix of the
    rarest elements finds every such pair without trying all of them. Large hubs are cut into blocks.
 5. The links make components by star contraction.
+
+Joins whose sides grow with the input are all sorted and merged, whatever their size, so plans and costs are
+alike at every size and adaptive execution can split the partitions of a hot key.
 """
 
 from __future__ import annotations
@@ -133,9 +136,9 @@ def _residuals(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """(hub, block, doc, hub_size, size, is_linked, residual); the hub's own set goes to each of its blocks."""
     blocks = pairs.select("hub", "doc", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("r"))
     number = blocks.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = blocks.join(number, "hub").select("hub", "doc", (F.col("r") % F.col("blocks")).alias("block"))
+    members = blocks.join(number.hint("merge"), "hub").select("hub", "doc", (F.col("r") % F.col("blocks")).alias("block"))
     own = number.select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = members.union(own.select("hub", "doc", "block")).join(sets, F.col("doc") == F.col("doc_id")).select("hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "elements")
+    rows = members.union(own.select("hub", "doc", "block")).join(sets.hint("merge"), F.col("doc") == F.col("doc_id")).select("hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
@@ -211,7 +214,7 @@ def _linked_members(members: list[tuple], p: int, q: int) -> list[tuple[int, int
 def _hub_links(residuals: DataFrame, p: int, q: int) -> DataFrame:
     """Links between members of a hub; the members of two blocks at a time meet in a task."""
     some = residuals.groupBy("hub").agg(F.max("block").alias("last"), F.count("*").alias("n"), F.count_if(~F.col("is_linked")).alias("lone")).where("lone > 0 AND n > 1").select("hub", "last")
-    rows = residuals.join(some, "hub")
+    rows = residuals.join(some.hint("merge"), "hub")
     # a block meets itself and each other block once
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
     rows = rows.withColumn("meet", F.explode(meet)).select("hub", "meet.a", "meet.b", "block", "doc", "hub_size", "size", "is_linked", "residual")
@@ -256,21 +259,23 @@ def similar_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, sc
         for b in pieces(batches, 8_000_000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in binary(b.column(1))], pa.binary())], names=["doc_id", "elements"])
 
-    chosen = source.where("doc_id IS NOT NULL AND text IS NOT NULL").join(needed, "doc_id", "left_semi")
+    chosen = source.where("doc_id IS NOT NULL AND text IS NOT NULL").join(needed.hint("merge"), "doc_id", "left_semi")
     sets = scratch.write(chosen.mapInArrow(elements, "doc_id long, elements binary"), "sets")
     residuals = scratch.write(_residuals(pairs, sets, p, q), "residuals")
-    scratch.drop("keys")
+    for done in ("keys", "pairs", "sets"):
+        scratch.drop(done)
     links = residuals.where("is_linked").select(F.col("hub").alias("u"), F.col("doc").alias("v")).union(_hub_links(residuals, p, q))
     links = scratch.write(links, "links")
+    scratch.drop("residuals")
     classes = index.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # copies: every document that is not the least of its class is linked with it
-    copies = index.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.where("least < most"), ["f", "g"]).where("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    copies = index.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.where("least < most").hint("merge"), ["f", "g"]).where("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     found = components(links.union(copies), scratch)
-    return index.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return index.select("doc_id", "n_shingles").join(found.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """The rows of each component's least document, all columns as they are; rows without a doc_id stay."""
     found = similar_documents(docs, n, p, q, scratch)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
