@@ -15,7 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; in a local session without one, a folder of our own."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if found:
-        return found.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return (f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
