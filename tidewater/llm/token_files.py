@@ -15,7 +15,9 @@ name is that of the documents. The table of ids by rank is a file of its own.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,8 +35,8 @@ from tidewater.llm.scratch import Scratch
 MAGIC = 0x314E454B4F54
 #: Tokens of a shard, about.
 SHARD = 8_000_000
-#: A worker forgets its words beyond this many; a speed setting that never changes a result.
-KEPT = 900_000
+#: A worker forgets its words, and their parts, beyond these numbers; settings of speed that never change a result.
+KEPT_WORDS, KEPT_CORES = 450_000, 1_200_000
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 _ENDS = b".,;:!?"
 
@@ -68,8 +70,8 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 # -- words to ids -------------------------------------------------------------------------------------
 
 
-class Words:
-    """Ids of texts by a tokenizer that never looks across blanks; each distinct word is encoded once.
+class Words(dict):
+    """Ids of words by a tokenizer that never looks across blanks; a worker encodes each distinct word once.
 
     This holds for a tokenizer that splits at white space and drops it. A word of ASCII letters and
     digits is looked up in lower case, and marks at its end stand alone, if the tokenizer folds case and
@@ -77,34 +79,44 @@ class Words:
     """
 
     def __init__(self, path: str, folds: bool = True):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.folds = folds
-        self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        for w in words:
-            core = w.rstrip(_ENDS) if self.folds else w
-            parts[w] = tuple(p for p in (core.lower(), w[len(core) :]) if p) if self.folds and core.isalnum() and core.isascii() else (w,)
-        new = list({p for some in parts.values() for p in some if p not in self.cores})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.cores[p] = np.array(e.ids, "<u4").tobytes()
-        for w, some in parts.items():
-            self.known[w] = b"".join([self.cores[p] for p in some])
+    def _core(self, part: bytes) -> bytes:
+        ids = self.cores.get(part)
+        if ids is None:
+            ids = self.cores[part] = pack_ids(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids)
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = None
+        if self.folds:
+            core = word.rstrip(_ENDS)
+            if core.isalnum():  # of bytes: ASCII letters and digits
+                ids = self._core(core.lower())
+                if len(core) < len(word):
+                    ids += self._core(word[len(core) :])
+        if ids is None:
+            ids = self._core(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT:
-            self.known.clear()
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        if len(self.cores) > KEPT_CORES:
             self.cores.clear()
-        split = [t.split() for t in texts]
-        self._learn({w for words in split for w in words if w not in self.known})
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(2)
