@@ -30,6 +30,8 @@ from tidewater.llm.scratch import Scratch
 DEPTH = 3
 WORD_SHARE, PAIR_SHARE, CONTEXT_SHARE = 1e-6, 1e-6, 1e-5
 DIVERGENCE = 30.0
+#: Bytes of text whose tokens a task holds at once.
+BATCH = 6_000_000
 #: The end of a text, told from every word by its use alone.
 END = np.uint64(0x9D3779B185EBCA87)
 
@@ -97,7 +99,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n) of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, BATCH):
             h, n = np.unique(batch_tokens(binary(b.column(0)))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
 
@@ -111,7 +113,7 @@ def _pair_counts(docs: DataFrame, model: Model, depth: int, least: int) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         end = int(lookup(m.hashes, np.array([END]))[0])
-        for b in pieces(batches):
+        for b in pieces(batches, BATCH):
             symbols = lookup(m.hashes, batch_tokens(binary(b.column(0)))[0])
             state = walk(m, symbols, end, depth)[-1]
             ok = (state >= 0) & (symbols >= 0)
@@ -231,7 +233,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for b in pieces(batches):
+        for b in pieces(batches, BATCH):
             if not b.num_rows:
                 continue
             size, known, base, own, rare, doc = _local(sent.value, binary(b.column(1)))
