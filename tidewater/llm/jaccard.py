@@ -2,10 +2,10 @@
 
 1. Each document becomes a set of hashed n-grams; equal sets make one class, named by its least doc_id.
 2. The sets' keys (partitions.py) are dealt out; in a bucket every set is paired with the least one, its
-   hub. A task sends a key on once, with its own least set, and pairs its other sets with that one.
+   hub. A batch sends a key on once, with the list of its sets.
 3. A pair is verified by the sets' symmetric difference, the residual. Sets that are linked with their
    hub are done.
-4. Two other sets of a hub differ by the difference of their residuals. If one of them is not linked
+4. Two other sets of a bucket share its hub, and differ by the difference of their residuals. If one of them is not linked
    with the hub, their residuals must have about half of the smaller one in common, so a prefix of the
    rarest elements finds every such pair without trying all of them. Large hubs are cut into blocks.
 5. The links make components by star contraction.
@@ -39,92 +39,88 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(window_hashes(hash_words(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def _index(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, a 128-bit name of its set (f, g) and its keys, of the first such set in a task."""
+def _index(docs: DataFrame, n: int) -> DataFrame:
+    """Per document: doc_id, n_shingles and a 128-bit name of its set (f, g)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in pieces(batches):
-            size, names, keys = [], [], []
-            ids = b.column(0).to_pylist()
-            for doc, text in zip(ids, binary(b.column(1)), strict=True):
-                s = shingles(text, n)
-                name = xxh3_128_digest(s.tobytes())
-                size.append(len(s))
-                names.append(name)
-                new = len(s) > 0 and doc is not None and name not in seen
-                keys.append(set_keys(s, p, q) if new else np.empty(0, np.uint64))
-                if new:
-                    seen.add(name)
-            both = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists], names=["doc_id", "n_shingles", "f", "g", "keys"])
+        for b in pieces(batches, 8_000_000):
+            sets = [shingles(text, n) for text in binary(b.column(1))]
+            names = np.frombuffer(b"".join([xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], names=["doc_id", "n_shingles", "f", "g"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
 
 
-def _pair_up(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows by key: each key with its least doc, and the distinct pairs of least and other docs."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    start = _starts(key)
-    hub = np.repeat(doc[start], np.diff(np.r_[start, len(key)]))
-    other = doc != hub
-    pairs = np.unique(np.stack([hub[other], doc[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return key[start], doc[start], pairs[:, 0], pairs[:, 1]
-
+def _keys(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """(key, hub, docs): each key of a batch once, with the least of its sets and the list of the others.
 
-_PAIRS = "key long, hub long, doc long"
-
-
-def _pairs_batch(key: np.ndarray | None, hub: np.ndarray, doc: np.ndarray | None) -> pa.RecordBatch:
-    none = lambda: pa.nulls(len(hub), pa.int64())
-    return pa.RecordBatch.from_arrays([none() if key is None else pa.array(key), pa.array(hub), none() if doc is None else pa.array(doc)], names=["key", "hub", "doc"])
+    Of equal sets the first in a task has keys; equal sets of several tasks meet under all their keys.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in pieces(batches, 8_000_000):
+            ids, keys = [], []
+            for doc, text in zip(b.column(0).to_pylist(), binary(b.column(1)), strict=True):
+                s = shingles(text, n)
+                name = xxh3_128_digest(s.tobytes())
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    ids.append(doc)
+                    keys.append(set_keys(s, p, q))
+            if sum(map(len, keys)):
+                key, doc = signed(np.concatenate(keys)), np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                start = _starts(key)
+                others = np.ones(len(key), bool)
+                others[start] = False
+                ends = np.r_[0, np.cumsum(np.add.reduceat(others.astype(np.int64), start))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(doc[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[others]))], names=["key", "hub", "docs"])
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hub, null) to send on, and (null, hub, doc) pairs found within a batch."""
-    for b in batches:
-        lists = b.column(1)
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
-        doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-        if len(keys):
-            key, hub, hubs, others = _pair_up(keys, doc)
-            yield _pairs_batch(key, hub, None)
-            if len(hubs):
-                yield _pairs_batch(None, hubs, others)
+    return docs.mapInArrow(run, "key long, hub long, docs array<long>")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key's least hub and its other hubs; rows come by key and hub, one batch in memory."""
+    """(hub, doc, crowded) of each key's least set and all its others; rows come by key and hub, one batch in memory.
+
+    A pair is crowded if its bucket holds a third set, or may hold one in another batch.
+    """
     last: tuple[int, int] | None = None  # key and hub of a bucket that may go on
     for b in batches:
-        key, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        key, least, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
         if not len(key):
             continue
         start = _starts(key)
-        hub = doc[start].copy()
-        if last is not None and key[0] == last[0]:
+        hub = least[start].copy()
+        goes_on = last is not None and key[0] == last[0]
+        if goes_on:
             hub[0] = last[1]
         last = (int(key[-1]), int(hub[-1]))
-        hub = np.repeat(hub, np.diff(np.r_[start, len(key)]))
-        other = hub != doc
-        if other.any():
-            pairs = np.unique(np.stack([hub[other], doc[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc"])
+        bucket = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
+        inner = np.repeat(bucket, np.diff(lists.offsets.to_numpy()))
+        bucket, doc = np.r_[bucket, inner], np.r_[least, lists.flatten().to_numpy(zero_copy_only=False)]
+        other = doc != hub[bucket]
+        bucket, doc = bucket[other], doc[other]
+        if not len(doc):
+            continue
+        crowded = np.bincount(bucket, minlength=len(start)) > 1
+        crowded[-1] = True
+        crowded[0] |= goes_on
+        pairs = np.unique(np.stack([hub[bucket], doc, crowded[bucket]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].astype(bool))], names=["hub", "doc", "crowded"])
 
 
-def _hub_pairs(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (hub, doc) pairs over all keys."""
-    rows = scratch.write(index.where("size(keys) > 0").select("doc_id", "keys").mapInArrow(_local, _PAIRS), "keys")
-    sent = rows.where("key IS NOT NULL").select("key", "hub").repartition("key").sortWithinPartitions("key", "hub")
-    across = sent.mapInArrow(_across, "hub long, doc long")
-    return scratch.write(across.union(rows.where("key IS NULL").select("hub", "doc")).distinct(), "pairs")
+def _hub_pairs(docs: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
+    """Distinct (hub, doc) pairs over all keys, and whether any of their buckets is crowded."""
+    rows = _keys(docs, n, p, q).repartition("key").sortWithinPartitions("key", "hub")
+    found = rows.mapInArrow(_across, "hub long, doc long, crowded boolean")
+    return scratch.write(found.groupBy("hub", "doc").agg(F.max("crowded").alias("crowded")), "pairs")
 
 
 def _most(x: int, y: int, p: int, q: int) -> int:
@@ -133,18 +129,21 @@ def _most(x: int, y: int, p: int, q: int) -> int:
 
 
 def _residuals(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(hub, block, doc, hub_size, size, is_linked, residual); the hub's own set goes to each of its blocks."""
-    blocks = pairs.select("hub", "doc", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("r"))
+    """(hub, block, doc, hub_size, size, is_linked, residual); the hub's own set goes to each of its blocks.
+
+    Residuals are kept for crowded pairs only: two other sets of a hub that share a key crowd its bucket.
+    """
+    blocks = pairs.select("hub", "doc", "crowded", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("r"))
     number = blocks.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = blocks.join(number.hint("merge"), "hub").select("hub", "doc", (F.col("r") % F.col("blocks")).alias("block"))
-    own = number.select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = members.union(own.select("hub", "doc", "block")).join(sets.hint("merge"), F.col("doc") == F.col("doc_id")).select("hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "elements")
+    members = blocks.join(number.hint("merge"), "hub").select("hub", "doc", "crowded", (F.col("r") % F.col("blocks")).alias("block"))
+    own = number.select("hub", F.col("hub").alias("doc"), F.lit(False).alias("crowded"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = members.union(own.select("hub", "doc", "crowded", "block")).join(sets.hint("merge"), F.col("doc") == F.col("doc_id")).select("hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "crowded", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for b in batches:
             out = []
-            for hub, block, member, doc, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for hub, block, member, doc, crowded, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if not member:
                     at, own = (hub, block), s
@@ -152,7 +151,7 @@ def _residuals(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 if at != (hub, block):
                     raise ValueError("a hub without its set")
                 res = np.setxor1d(own, s, assume_unique=True)
-                out.append((hub, block, doc, len(own), len(s), len(res) <= _most(len(own), len(s), p, q), res.tobytes()))
+                out.append((hub, block, doc, len(own), len(s), len(res) <= _most(len(own), len(s), p, q), res.tobytes() if crowded else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _RESIDUAL.values(), strict=True)], names=list(_RESIDUAL))
 
@@ -213,6 +212,7 @@ def _linked_members(members: list[tuple], p: int, q: int) -> list[tuple[int, int
 
 def _hub_links(residuals: DataFrame, p: int, q: int) -> DataFrame:
     """Links between members of a hub; the members of two blocks at a time meet in a task."""
+    residuals = residuals.where("residual IS NOT NULL")
     some = residuals.groupBy("hub").agg(F.max("block").alias("last"), F.count("*").alias("n"), F.count_if(~F.col("is_linked")).alias("lone")).where("lone > 0 AND n > 1").select("hub", "last")
     rows = residuals.join(some.hint("merge"), "hub")
     # a block meets itself and each other block once
@@ -251,8 +251,8 @@ def similar_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, sc
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    index = scratch.write(_index(source, n, p, q), "index")
-    pairs = _hub_pairs(index, scratch)
+    index = scratch.write(_index(source, n), "index")
+    pairs = _hub_pairs(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), n, p, q, scratch)
     needed = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("doc")).distinct()
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def similar_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, sc
     chosen = source.where("doc_id IS NOT NULL AND text IS NOT NULL").join(needed.hint("merge"), "doc_id", "left_semi")
     sets = scratch.write(chosen.mapInArrow(elements, "doc_id long, elements binary"), "sets")
     residuals = scratch.write(_residuals(pairs, sets, p, q), "residuals")
-    for done in ("keys", "pairs", "sets"):
+    for done in ("pairs", "sets"):
         scratch.drop(done)
     links = residuals.where("is_linked").select(F.col("hub").alias("u"), F.col("doc").alias("v")).union(_hub_links(residuals, p, q))
     links = scratch.write(links, "links")
