@@ -354,6 +354,55 @@ def test_suffix_tree_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def _tree_by_hand(texts, held):
+    """Scores of the texts in the whole tree, with nothing sent and nothing joined."""
+    tokens = [[*(t or "").lower().split(), None] for t in texts]
+    n = collections.Counter(tuple(w[i : i + k]) for w, out in zip(tokens, held) if not out for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    words = {s: c for s, c in n.items() if len(s) == 1}
+    bottom = sum(words.values()) + len(words) + 1
+    after = collections.defaultdict(dict)
+    for s, c in n.items():
+        if len(s) > 1 and c >= suffix_tree.PAIR_LEAST and n[s[:-1]] >= suffix_tree.CONTEXT_LEAST:
+            after[s[:-1]][s[-1]] = c
+    states = {}
+
+    def p(context, w):
+        if not context:
+            return (n[(w,)] + 1) / bottom
+        share, rest = states.get(context, ({}, 1.0))
+        return share.get(w, 0.0) + rest * p(context[1:], w)
+
+    for s in sorted(after, key=len):
+        e = {w: p(s[1:], w) for w in after[s]}
+        left = n[s] - sum(after[s].values())
+        gain = sum(c * math.log(c / n[s] / e[w]) for w, c in after[s].items())
+        gain += left * math.log(left / n[s] / min(1, max(1e-12, 1 - sum(e.values())))) if left else 0
+        if gain >= suffix_tree.DIVERGENCE:
+            whole = n[s] + len(after[s])
+            states[s] = ({w: c / whole for w, c in after[s].items()}, (left + len(after[s])) / whole)
+    score = [sum(math.log10(p(tuple(w[max(0, i - 3) : i]), x)) for i, x in enumerate(w)) for w in tokens]
+    return score, states
+
+
+@pytest.mark.parametrize("head", [None, 2e-5])
+def test_suffix_tree_grows_with_the_corpus(spark, monkeypatch, head):
+    """Contexts that make up less than any share of the tokens are states, and all strings count, sent or joined."""
+    if head:
+        monkeypatch.setattr(suffix_tree, "HEAD_SHARE", head)
+    rnd = random.Random(5)
+    lines = [_words(rnd, 8, 12) for _ in range(25)]
+    texts = [" ".join(rnd.choice(lines) if rnd.random() < 0.7 else _words(rnd, 5) for _ in range(12)) for _ in range(69)]
+    texts += ["x " * 2_000_000, None, "never seen w1 w2", *lines[:8]]
+    held = [i % 7 == 2 or i > 71 for i in range(len(texts))]
+    docs = _docs(spark, texts).withColumn("held_out", (F.col("doc_id") % 7 == 2) | (F.col("doc_id") > 71))
+    want, states = _tree_by_hand(texts, held)
+    assert {len(s) for s in states} == {1, 2, 3}
+    rows = {r.doc_id: r for r in suffix_tree.score(docs).collect()}
+    for i, r in rows.items():
+        assert abs(r.score - want[i]) < 1e-6 * max(1, -want[i])
+    assert sum(rows[i].score for i in range(72, 80)) > 0.6 * sum(rows[i].base_score for i in range(72, 80))
+
+
 def test_suffix_tree_odd_tables(spark):
     docs = _docs(spark, ["a b", None, "a"], [1, None, 1]).withColumn("held_out", F.lit(True))
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in suffix_tree.score(docs).collect()) == [("1", 2, 0, 0, 0.0), ("1", 3, 0, 0, 0.0), ("None", 1, 0, 0, 0.0)]

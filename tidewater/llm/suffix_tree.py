@@ -1,16 +1,18 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-States are contexts of up to DEPTH words, the last word last. A string of words is a candidate if it makes
-up at least CONTEXT_SHARE of the training tokens, so there are at most 1 / CONTEXT_SHARE candidates of a
-length, whatever the corpus. A candidate stays if the distribution of its next symbol diverges from that
-of its suffix: its count times the Kullback-Leibler divergence is at least DIVERGENCE. A state keeps the
-next symbols that follow it in at least PAIR_SHARE of all tokens; what is left of its mass, and a
-Witten-Bell share, goes to the next shorter state, and at the root to the smoothed unigram distribution.
-A token is scored in the longest state that is a suffix of the words before it.
-
-Words of at least WORD_SHARE of the tokens are sent to every task with their counts, at most
-1 / WORD_SHARE of them. Counts of the others stay in a table: a task writes down which of them a document
-holds, and a join brings their counts. Words are known by 64-bit hashes.
+States are contexts of up to DEPTH words, the last word last. A string of words is a candidate if it occurs
+CONTEXT_LEAST times at least, so states grow with the corpus. A candidate stays if the distribution of its
+next symbol diverges from that of its suffix: its count times the Kullback-Leibler divergence is at least
+DIVERGENCE. A state keeps the next symbols that follow it PAIR_LEAST times at least; what is left of its
+mass, and a Witten-Bell share, goes to the next shorter state, and at the root to the smoothed unigram
+distribution. A token is scored in the longest state that is a suffix of the words before it.
+
+The tree stands in written tables. Its head, strings of at least HEAD_SHARE of the training tokens, is sent
+to every task, at most 1 / HEAD_SHARE strings of a length. The rest is joined: the logarithm of a token's
+probability is a sum over the strings that end at it (what a next symbol adds) and before it (what a state
+leaves to the shorter one), so a task writes down which strings beyond the head a text may hold, and a join
+brings what each adds. Bits of a fixed number keep strings out that are in no table; they lose none. Words
+and strings are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,25 +22,30 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import binary, hash_words, pieces, signed
+from tidewater.llm.kernels import BASE_A, binary, hash_words, pieces, signed
 from tidewater.llm.scratch import Scratch
 
 DEPTH = 3
-WORD_SHARE, PAIR_SHARE, CONTEXT_SHARE = 1e-6, 1e-6, 1e-5
+#: Occurrences that a state and a next symbol need, whatever the corpus.
+CONTEXT_LEAST, PAIR_LEAST = 4, 2
 DIVERGENCE = 30.0
+#: Strings of this share of the training tokens are sent to tasks, the others are joined.
+HEAD_SHARE = 1e-6
+#: Bits of the filter that strings pass before they are shuffled; its size is fixed.
+FILTER_BITS, CHUNK_BITS = 26, 19
 #: Bytes of text whose tokens a task holds at once.
-BATCH = 6_000_000
+BATCH = 3_000_000
 #: The end of a text, told from every word by its use alone.
 END = np.uint64(0x9D3779B185EBCA87)
 
 
 @dataclass
 class Model:
-    """Arrays of bounded size; symbols are numbers of frequent words, in the order of their hashes."""
+    """The head of the tree, of bounded size; symbols are numbers of frequent words, in the order of their hashes."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -49,6 +56,7 @@ class Model:
     pairs: list[np.ndarray] = field(default_factory=list)  # by depth: of (state, next symbol), sorted
     share: list[np.ndarray] = field(default_factory=list)  # probability that each pair adds
     rest: list[np.ndarray] = field(default_factory=list)  # by state: the share of the next shorter state
+    beyond: np.ndarray | None = None  # the filter of the strings beyond the head
 
     @property
     def width(self) -> int:
@@ -106,104 +114,186 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _train(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(docs: DataFrame, model: Model, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(state, next symbol) keys at a depth and how often they occur, of those that occur ``least`` times at least."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def strings(h: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 to ``most``: places where such a string ends, its hash, and those without its last and first word.
+
+    No word but the last is an end.
+    """
+    key, ok, inner = h, np.ones(len(h), bool), h != END
+    for _ in range(most - 1):
+        ok = np.r_[False, ok[:-1] & inner[:-1]][: len(h)]
+        front = np.r_[np.uint64(0), key[:-1]][: len(h)]
+        longer = front * np.uint64(BASE_A) + h
+        at = np.flatnonzero(ok)
+        yield at, longer[at], front[at], key[at]
+        key = longer
+
+
+def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bit = key >> np.uint64(64 - FILTER_BITS)
+    return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """One bit for each value of the first FILTER_BITS bits of the keys, gathered chunk by chunk: 8 MB whatever the corpus."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = np.unique(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            chunk = bit >> CHUNK_BITS
+            for c in np.unique(chunk).tolist():
+                at = bit[chunk == c] & (1 << CHUNK_BITS) - 1
+                np.bitwise_or.at(held.setdefault(c, np.zeros(1 << CHUNK_BITS - 3, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros((1 << FILTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS - 3), np.uint8)
+    keys = keys.toDF("key").repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + CHUNK_BITS))
+    for r in keys.mapInArrow(pack, "chunk long, bits binary").collect():
+        out[r.chunk] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _pair_counts(docs: DataFrame, sent: Broadcast, depth: int) -> DataFrame:
+    """(key, context, suffix, n) of the strings of depth + 1 words that occur PAIR_LEAST times at least.
+
+    ``sent`` has the filters of contexts and of suffixes, of depth words; strings that do not pass are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        end = int(lookup(m.hashes, np.array([END]))[0])
         for b in pieces(batches, BATCH):
-            symbols = lookup(m.hashes, batch_tokens(binary(b.column(0)))[0])
-            state = walk(m, symbols, end, depth)[-1]
-            ok = (state >= 0) & (symbols >= 0)
-            key, n = np.unique(state[ok] * m.width + symbols[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            h, _ = batch_tokens(binary(b.column(0)))
+            for _, key, context, suffix in strings(h, depth + 1):
+                pass  # the last is of the length asked for
+            ok = np.flatnonzero(_passes(sent.value[0], context))
+            ok = ok[_passes(sent.value[1], suffix[ok])]
+            key, first, n = np.unique(key[ok], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(context[ok[first]])), pa.array(signed(suffix[ok[first]])), pa.array(n)], names=["key", "context", "suffix", "n"])
 
-    rows = _train(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    rows = _train(docs).mapInArrow(run, "key long, context long, suffix long, n long")
+    return rows.groupBy("key", "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """The tree, from the training rows of docs (text, held_out) and their word counts."""
+def _totals(counts: DataFrame) -> tuple[int, int]:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = lambda share: max(2, int(np.ceil(share * total)))
-    rows = counts.where((F.col("n") >= least(WORD_SHARE)) | (F.col("h") == int(signed(np.array([END]))[0]))).toArrow()
-    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(h)
-    model = Model(h[order], n[order], int(total), int(distinct))
+    return int(total), int(distinct)
+
+
+def _head_least(total: int) -> int:
+    return max(2, int(np.ceil(HEAD_SHARE * total)))
+
+
+def grow(docs: DataFrame, counts: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
+    """The whole tree by depth, as written tables of next symbols and of states, from the training rows of docs (text, held_out).
+
+    Next symbols of candidates: key, context, suffix, n, share (null where the context does not stay), log_p
+    (in the context) and adds (to the logarithm beyond what the context leaves to its suffix). States: key,
+    n, rest. A string without its first word occurs as often at least, and so does its context, so what the
+    suffix says of a next symbol is a row of the depth before.
+    """
+    total, distinct = _totals(counts)
     if not total:
-        return model
-    end = int(lookup(model.hashes, np.array([END]))[0])
-    width = model.width
-    # length 1: every frequent enough word is a candidate; its suffix is the root, state 0
-    strings: list[tuple[int, ...]] = [(s,) for s in np.flatnonzero(model.counts >= least(CONTEXT_SHARE)).tolist() if s != end]
-    visits = model.counts[[s[0] for s in strings]].astype(float) if strings else np.empty(0)
-    numbers: dict[tuple[int, ...], int] = {(): 0}
-    root = (model.counts + 1) / (total + distinct + 1)
-    above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        return []
+    above = counts.where(F.col("n") >= PAIR_LEAST).select(F.col("h").alias("key"), "n", F.log((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("log_p"))
+    found = []
     for depth in range(1, DEPTH + 1):
-        key = np.array([numbers[s[1:]] * width + s[0] for s in strings], np.int64)
-        order = np.argsort(key)
-        strings, visits, key = [strings[i] for i in order.tolist()], visits[order], key[order]
-        state_of = numbers
-        numbers = {s: i for i, s in enumerate(strings)}
-        model.keys.append(key)
-        model.states.append(np.arange(len(strings)))
-        pair, n = _pair_counts(docs, model, depth, least(PAIR_SHARE)) if strings else (np.empty(0, np.int64), np.empty(0, np.int64))
-        state, symbol = pair // width, pair % width
-        kept = np.bincount(state, n, len(strings))
-        followers = np.bincount(state, minlength=len(strings)).astype(float)
-        # what the suffix says of the same symbols
-        suffix = np.array([state_of[s[1:]] for s in strings], np.int64) if strings else np.empty(0, np.int64)
-        expected = _expected(model, depth, suffix[state] if len(state) else state, symbol, root, above)
-        p = n / np.maximum(visits[state], 1) if len(state) else np.empty(0)
-        gain = np.bincount(state, n * np.log(np.maximum(p, 1e-300) / expected), len(strings))
-        left, left_expected = np.maximum(visits - kept, 0), np.clip(1 - np.bincount(state, expected, len(strings)), 1e-12, 1)
-        gain += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / np.maximum(visits, 1) / left_expected), 0)
-        stays = gain >= DIVERGENCE
-        bottom = visits + np.maximum(followers, 1)
-        use = stays[state] if len(state) else np.empty(0, bool)
-        model.pairs.append(pair[use])
-        model.share.append((n / bottom[state])[use] if len(state) else np.empty(0))
-        model.rest.append(np.where(stays, (visits - kept + np.maximum(followers, 1)) / bottom, 1.0))
-        above = {depth: (suffix, stays)} | above
-        if depth < DEPTH:
-            longer = (n >= least(CONTEXT_SHARE)) & (symbol != end)
-            grown = [((*strings[s], x), c) for s, x, c in zip(state[longer].tolist(), symbol[longer].tolist(), n[longer].tolist(), strict=True)]
-            grown = [(s, c) for s, c in grown if s[1:] in numbers]
-            strings, visits = [s for s, _ in grown], np.array([c for _, c in grown], float)
+        visits = above.where(F.col("n") >= CONTEXT_LEAST).select(F.col("key").alias("context"), F.col("n").alias("visits"))
+        expected = above.select(F.col("key").alias("suffix"), F.col("log_p").alias("log_e"))
+        sent = docs.sparkSession.sparkContext.broadcast((_filter(visits.select("context")), _filter(expected.select("suffix"))))
+        pairs = _pair_counts(docs, sent, depth).join(expected, "suffix").join(visits, "context")
+        pairs = scratch.write(pairs.select("key", "context", "suffix", "n", "visits", "log_e"), f"pairs{depth}")
+        sent.destroy()
+        of = pairs.groupBy("context").agg(
+            F.max("visits").alias("n"),
+            F.sum("n").alias("kept"),
+            F.count("*").alias("followers"),
+            F.sum(F.exp("log_e")).alias("e"),
+            F.sum(F.col("n") * (F.log(F.col("n") / F.col("visits")) - F.col("log_e"))).alias("gain"),
+        )
+        left = F.col("n") - F.col("kept")
+        gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("n") / F.least(F.greatest(1 - F.col("e"), F.lit(1e-12)), F.lit(1.0)))).otherwise(0.0)
+        bottom = F.col("n") + F.col("followers")
+        states = of.where(gain >= DIVERGENCE).select(F.col("context").alias("key"), "n", ((left + F.col("followers")) / bottom).alias("rest"), bottom.alias("bottom"))
+        states = scratch.write(states, f"states{depth}")
+        rows = pairs.join(states.select(F.col("key").alias("context"), "rest", "bottom"), "context", "left").withColumn("share", F.col("n") / F.col("bottom"))
+        log_p = F.when(F.col("share").isNull(), F.col("log_e")).otherwise(F.log(F.col("share") + F.col("rest") * F.exp("log_e")))
+        rows = rows.select("key", "context", "suffix", "n", "share", log_p.alias("log_p"), (log_p - F.col("log_e") - F.log("rest")).alias("adds"))
+        above = scratch.write(rows, f"next{depth}")
+        scratch.drop(f"pairs{depth}")
+        found.append((above, states))
+    return found
+
+
+def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]]) -> Model:
+    """What is sent to tasks of a tree."""
+    total, distinct = _totals(counts)
+    least = _head_least(total)
+    rows = counts.where((F.col("n") >= least) | (F.col("h") == int(signed(np.array([END]))[0]))).toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    model = Model(h[order], n[order], total, distinct)
+    column = lambda t, name: t.column(name).to_numpy().view(np.uint64)
+    # strings of a depth's length that can be states, with the state of their suffix and their first word
+    key = model.hashes[(model.counts >= max(least, CONTEXT_LEAST)) & (model.hashes != END)]
+    suffix, first = np.zeros(len(key), np.int64), key
+    for depth, (pairs, states) in enumerate(tree, 1):
+        code = suffix * model.width + lookup(model.hashes, first)
+        order = np.argsort(code)
+        model.keys.append(code[order])
+        by_key = np.argsort(key)
+        number = np.empty(len(key), np.int64)  # states are numbered by their codes
+        number[order] = np.arange(len(key))
+        model.states.append(np.arange(len(key)))
+        place = lambda x: (lambda at: np.where(at >= 0, number[by_key[at]], -1))(lookup(key[by_key], x)) if len(key) else np.full(len(x), -1, np.int64)  # noqa: B023, E731
+        t = states.where(F.col("n") >= least).select("key", "rest").toArrow()
+        rest = np.ones(len(key))
+        rest[place(column(t, "key"))] = t.column("rest").to_numpy()
+        model.rest.append(rest)
+        t = pairs.where(F.col("n") >= least).select("key", "context", "suffix", "n", "share").toArrow()
+        whole, context, short = (column(t, c) for c in ("key", "context", "suffix"))
+        last = whole - context * np.uint64(BASE_A)
+        share = t.column("share").to_numpy()
+        at = place(context) * model.width + lookup(model.hashes, last)
+        use = np.flatnonzero(~np.isnan(share))
+        use = use[np.argsort(at[use])]
+        model.pairs.append(at[use])
+        model.share.append(share[use])
+        inner = (last != END) & (t.column("n").to_numpy() >= CONTEXT_LEAST)
+        key, suffix = whole[inner], place(short[inner])
+        first = (whole - short)[inner] * np.uint64(pow(BASE_A, -depth, 1 << 64))
     return model
 
 
-def _expected(model: Model, depth: int, suffix: np.ndarray, symbol: np.ndarray, root: np.ndarray, above: dict) -> np.ndarray:
-    """Probability of each symbol in a state one word shorter."""
-    chain = []
-    for d in range(depth - 1, 0, -1):
-        chain.append((d, suffix))
-        suffix = above[d][0][suffix] if len(suffix) else suffix
-    p = root[symbol] if len(symbol) else np.empty(0)
-    for d, state in reversed(chain):
-        at = lookup(model.pairs[d - 1], state * model.width + symbol)
-        p = np.where(at >= 0, model.share[d - 1][at] if len(model.share[d - 1]) else 0.0, 0.0) + model.rest[d - 1][state] * p
-    return p
+def fit(docs: DataFrame, counts: DataFrame) -> Model:
+    """The head of the tree of docs (text, held_out), from their word counts."""
+    scratch = Scratch(docs.sparkSession, "suffix_tree")
+    return head(counts, grow(docs, counts, scratch))
+
+
+def _beyond(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]], total: int) -> DataFrame:
+    """(key, base, own) of what is not in the head: what a string adds to the log10 of both scores; base is null for all but words."""
+    rare = F.col("n") < _head_least(total)
+    parts = counts.where(rare & (F.col("h") != int(signed(np.array([END]))[0]))).select(F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("base"), F.log10(F.col("n") + 1).alias("own"))
+    none, ten = F.lit(None).cast("double").alias("base"), float(np.log(10))
+    for pairs, states in tree:
+        parts = parts.unionAll(pairs.where(rare & F.col("adds").isNotNull()).select("key", none, (F.col("adds") / ten).alias("own")))
+        parts = parts.unionAll(states.where(rare).select("key", none, F.log10("rest").alias("own")))
+    return parts
 
 
 def _local(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """By text: tokens, frequent known tokens, base and model log10 probability without the rare words'; and the rare words."""
+    """By text: tokens, those the head knows, base and model log10 probability by the head; and the strings to ask for, with their texts."""
     h, size = batch_tokens(texts)
     symbols = lookup(model.hashes, h)
     end = int(lookup(model.hashes, np.array([END]))[0]) if len(model.hashes) else -2
     ends = np.cumsum(size) - 1
-    symbols_walk = symbols
     frequent = symbols >= 0
     bottom = model.total + model.distinct + 1
-    p0 = np.where(frequent, (model.counts[symbols] + 1) / bottom if len(model.counts) else 1.0, 1.0)
+    p0 = np.where(frequent, model.counts[symbols] + 1 if len(model.counts) else 1, 1) / bottom
     base = np.log10(p0)
     p = p0.copy()
-    for d, state in enumerate(walk(model, symbols_walk, end, len(model.keys))):
+    for d, state in enumerate(walk(model, symbols, end, len(model.keys))):
         at = np.flatnonzero(state >= 0)
         s = state[at]
         hit = lookup(model.pairs[d], s * model.width + symbols[at])
@@ -213,9 +303,15 @@ def _local(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         p[at] = share + model.rest[d][s] * p[at]
     starts = ends - size + 1
     by = lambda x: np.add.reduceat(x, starts) if len(x) else np.empty(0)
-    rare = np.flatnonzero(~frequent)
-    doc = np.searchsorted(ends, rare)
-    return size, by(frequent.astype(np.int64)), by(base), by(np.log10(p)), h[rare], doc
+    asked, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    if model.beyond is not None:
+        rare = np.flatnonzero(~frequent)
+        for at, key in [(rare, h[rare]), *((at, key) for at, key, _, _ in strings(h, len(model.keys) + 1))]:
+            ok = np.flatnonzero(_passes(model.beyond, key))
+            asked.append(key[ok])
+            places.append(at[ok])
+    doc = np.searchsorted(ends, np.concatenate(places))
+    return size, by(frequent.astype(np.int64)), by(base), by(np.log10(p)), np.concatenate(asked), doc
 
 
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -228,7 +324,10 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "suffix_tree")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     counts = scratch.write(word_counts(docs), "counts")
-    model = fit(docs, counts)
+    tree = grow(docs, counts, scratch)
+    model = head(counts, tree)
+    beyond = _beyond(counts, tree, model.total)
+    model.beyond = _filter(beyond.select("key"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,23 +357,23 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             row += b.num_rows
 
     rows = scratch.write(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<long>, times array<long>"), "rows")
-    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    bottom = float(np.log10(model.total + model.distinct + 1))
+    sent.destroy()
+    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = (
-        asked.join(counts, "h", "left")
+        asked.join(beyond, "key")
         .groupBy("row")
         .agg(
-            F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - bottom)).alias("more"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+            F.sum(F.col("times") * F.col("base")).alias("more_base"),
+            F.sum(F.col("times") * F.col("own")).alias("more"),
+            F.sum(F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         )
     )
-    more = F.coalesce("more", F.lit(0.0))
     return rows.drop("rare", "times").join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("own") + more).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
