@@ -302,6 +302,35 @@ def test_leaks(spark):
     assert decontamination.without_leaks(_docs(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def test_every_substitution_within_the_share_is_seeded():
+    word = np.arange(1, 21, dtype=np.uint64)
+    for n in range(decontamination.LEAST_TOKENS, 21):
+        item = word[:n]
+        own = decontamination.seeds(item)
+        most = n - math.ceil(decontamination.SHARE * n - 1e-9)
+        changed = np.array(list(itertools.combinations(range(n), most)))
+        found = np.zeros(len(changed), bool)
+        differs = np.zeros((len(changed), n), bool)
+        np.put_along_axis(differs, changed, True, axis=1)
+        for mask, spans in zip(decontamination.MASKS, own):
+            counts = np.array([c == "1" for c in mask])
+            for at in range(len(spans)):
+                found |= ~differs[:, at : at + len(mask)][:, counts].any(axis=1)
+        assert found.all(), (n, changed[~found][:3])
+
+
+def test_leaks_at_ends_and_edges(spark):
+    rnd = random.Random(3)
+    items = [_words(rnd, n, 5000).split() for n in (9, 10, 16, 20)]
+    bench = spark.createDataFrame([(100 + i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    put = lambda t, *at: [f"zz{i}" if i in at else w for i, w in enumerate(t)]
+    texts = [["pre", *put(items[0], 0), "post"], ["pre", *put(items[0], 8)], put(items[1], 2, 5), ["pre", *put(items[2], 0, 5, 10)]]
+    texts += [items[2][1:] + ["and", "more"], ["so", *items[2][:13]], items[2][:12], items[0][1:], items[3][4:], items[3][5:]]
+    got = {(r.doc_id, r.item_id): (r.start, r.n_compared, r.n_equal) for r in decontamination.leaks(_docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert set(got) == {(0, 100), (1, 100), (2, 101), (3, 102), (4, 102), (5, 102), (7, 100), (8, 103)}
+    assert got[4, 102] == (0, 15, 15) and got[5, 102] == (1, 13, 13) and got[8, 103] == (0, 16, 16) and got[3, 102] == (1, 16, 13)
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.kernels import hash_words, mix, pieces, signed
 from tidewater.llm.scratch import Scratch
 
-#: Positions that count are 1.
-MASKS = ("111000111", "110101011", "101101101")
+#: Positions that count are 1. Whichever tokens differ within SHARE of a stretch or a shorter item, one mask finds its own equal.
+MASKS = ("111000111", "110101011", "101101101", "111111", "1111011", "1101111", "11101101")
 #: Items of fewer tokens can't be told from chance and match nothing.
 LEAST_TOKENS = 9
 #: A stretch of so many tokens (or the whole item) must agree in at least this share.
@@ -51,7 +51,7 @@ def _rows(ids: list[int], texts: list[str | None], keep: np.ndarray | None) -> p
     doc, place, seed = [], [], []
     for i, text in zip(ids, texts, strict=True):
         h = tokens(text)
-        if len(h) < LEAST_TOKENS:
+        if keep is None and len(h) < LEAST_TOKENS:
             continue
         for s in seeds(h):
             at = np.arange(len(s))
@@ -98,26 +98,30 @@ def _filter(items: DataFrame) -> np.ndarray:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """(start in doc, compared, equal) of the best stretch on a diagonal, or None if it agrees too little."""
+    """(start in doc, compared, equal) of the best stretch on a diagonal, or None if it agrees too little.
+
+    Tokens of the item beyond the document's edges differ; they do not count as compared.
+    """
     a, b = max(0, diagonal), min(len(doc), diagonal + len(item))
-    stretch = min(STRETCH, len(item))
-    if b - a < stretch:
+    if b <= a:
         return None
-    equal = doc[a:b] == item[a - diagonal : b - diagonal]
+    stretch = min(STRETCH, len(item))
+    equal = np.zeros(len(item), bool)
+    equal[a - diagonal : b - diagonal] = doc[a:b] == item[a - diagonal : b - diagonal]
     total = np.r_[0, np.cumsum(equal)]
     windows = total[stretch:] - total[:-stretch]
     if windows.max() < SHARE * stretch:
         return None
     good = np.flatnonzero(windows >= SHARE * stretch)
-    first, last = int(good[0]), int(good[-1]) + stretch
-    return a + first, last - first, int(total[last] - total[first])
+    first, last = max(int(good[0]), a - diagonal), min(int(good[-1]) + stretch, b - diagonal)
+    return first + diagonal, last - first, int(total[last] - total[first])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (doc_id, item_id) with start, n_compared, n_equal: the document holds a passage of the item.
 
-    At least SHARE of the tokens of a stretch of STRETCH tokens, or of a shorter item, agree in place. A
-    pair has one row, of its longest overlap, then the earliest. Null texts and ids and items of fewer
+    At least SHARE of the tokens of a stretch of STRETCH tokens, or of a shorter item, agree in place; tokens that
+    a document's edge cuts off differ. A pair has one row, of its longest overlap, then the earliest. Null texts and ids and items of fewer
     than LEAST_TOKENS tokens match nothing; rows of equal id are tried each. Empty tables give no rows;
     extra columns are ignored.
     """
