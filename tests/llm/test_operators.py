@@ -557,6 +557,18 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert chat.unescape(chat.escape(HARD + "\\<|\\n")) == HARD + "\\<|\\n" and "<|" not in chat.escape(HARD)
 
 
+def test_templates_are_judged_alike_at_any_length(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    table = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(100)], schema)
+    last = lambda turns: "".join(f"{r}:{t}\n" for r, t in turns[-40:])
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.format_turns(table, last).collect()
+    numbered = lambda turns: "".join(f"{k}:{t}\n" for k, (_, t) in enumerate(turns))
+    (r,) = chat.format_turns(table, numbered).collect()
+    assert r.n_turns == 100 and r.formatted == numbered([("", f"t{k}") for k in range(100)])
+    assert [r.formatted[s.a : s.b] for s in r.loss_spans] == [f"t{k}" for k in range(1, 100, 2)]
+
+
 # -- kernels ------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ nothing about it: it renders successive turn prefixes, compares each output with
 takes what was added as the span of the new turn. An output that does not start with the one before
 is a template that rewrites history, and is reported as such.
 
-A long conversation is cut into stretches of STRETCH turns. Each stretch is rendered behind the
-turn before it, so its spans come from prefixes of at most STRETCH + 1 turns and no task renders
+With the default template, or one that the caller declares local by naming a stretch, a long
+conversation is cut into stretches; any other template is rendered on whole prefixes. Each stretch is rendered behind the
+turn before it, so its spans come from prefixes of at most one turn more and no task renders
 all prefixes of all turns. This equals rendering whole prefixes for templates in which a turn's
 text depends on the turn itself, the one before and whether it is the first. The formatter tests
 that at each stretch's start against a longer lead and raises for a template that fails the test.
@@ -79,12 +80,15 @@ def content_span(render: Template, turns: list[tuple[str, str]], at: tuple[int,
     return at[0] + head, at[1] - tail
 
 
-def format_turns(conversations: DataFrame, render: Template = template, loss_role: str = "assistant", stretch: int = STRETCH) -> DataFrame:
+def format_turns(conversations: DataFrame, render: Template = template, loss_role: str = "assistant", stretch: int | None = None) -> DataFrame:
     """Per stretch of a conversation: conv_id, stretch, turns, formatted, turn_spans, loss_spans (in formatted).
 
     Rows stand by turn; equal turns by role, then text; null turns first. A null text or role counts
-    as empty; rows with a null conv_id make up one conversation. Extra columns are ignored.
+    as empty; rows with a null conv_id make up one conversation. Extra columns are ignored. A ``stretch``
+    declares the template local; without one, only the default template's conversations are cut.
     """
+    whole = stretch is None and render is not template
+    stretch = stretch or (1 << 40 if whole else STRETCH)
     source = conversations.select(
         F.col("conv_id").cast("long"),
         F.col("turn").cast("long"),
@@ -117,7 +121,8 @@ def format_turns(conversations: DataFrame, render: Template = template, loss_rol
             loss = []
             for k, (role, _) in enumerate(turns):
                 if role == loss_role:
-                    loss.append(content_span(render, [*(turns[k - 1 : k] if k else near), turns[k]], found[k], text))
+                    before = turns[:k] if whole else turns[k - 1 : k] if k else near
+                    loss.append(content_span(render, [*before, turns[k]], found[k], text))
             out.append((conv, number, len(turns), text, [{"a": a, "b": b} for a, b in found], [{"a": a, "b": b} for a, b in loss]))
             size += len(text)
             if len(out) >= 2000 or size > 8_000_000:
