@@ -251,6 +251,53 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.similar_documents(_empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_jaccard_of_lone_sets_that_share_passages(spark, monkeypatch, block):
+    rnd = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(40)] for k in range(3)]
+    texts = []
+    for k in range(70):
+        own = [f"o{k % 50}y{i}" for i in range(rnd.randrange(5, 60))] if k < 50 else texts[rnd.randrange(50)].split()
+        if k < 50:
+            for x in rnd.sample(passages, rnd.randrange(1, 4)):
+                own = x + own
+        elif rnd.random() < 0.8:
+            own[rnd.randrange(len(own))] = f"z{k}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    got = jaccard.similar_documents(_docs(spark, texts), 2, 70, 100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(texts, 2, 70)
+
+
+def test_signatures_refuse_no_linked_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64)])
+        x, y = (np.frombuffer(jaccard.signature(s), np.uint64)[None, :] for s in (a, b))
+        assert jaccard.differences(x, y)[0] <= len(np.setxor1d(a, b))
+        assert jaccard.differences(x, x)[0] == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_jaccard_with_a_repeated_doc_id(spark, partitions):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    near = lambda t, k: " ".join([*t[:k], "other", *t[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 0)), (3, near(b, 39)), (5, " ".join(c)), (4, near(c, 0)), (4, None), (1, ""), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, 3, 90, 100).collect()], key=str)
+    assert got == sorted([(1, 38, 1), (1, 38, 1), (2, 38, 1), (3, 38, 1), (5, 38, 4), (4, 38, 4), (4, 0, 4), (1, 0, 1), (None, 38, None)], key=str)
+
+
+def test_clashing_names_of_filters(spark, docs, texts):
+    odd = docs
+    for name in ("gone", "GONE_", "__gone", "__copies", "copies", "node", "of", "start"):
+        odd = odd.withColumn(name, F.lit("x"))
+    bench = spark.createDataFrame([(1, texts[9])], "item_id long, text string")
+    for df in (jaccard.one_of_each(odd, 3, 90, 100), substrings.without_repeats(odd, 50), decontamination.without_leaks(odd, bench)):
+        assert df.columns == odd.columns and df.count() > 0 and df.where("gone <> 'x' OR __copies <> 'x'").count() == 0
+
+
 @pytest.mark.parametrize("p", [30, 50, 80, 90])
 def test_linked_sets_share_a_key(p):
     rng = np.random.default_rng(p)

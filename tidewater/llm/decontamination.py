@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.kernels import hash_words, mix, pieces, signed
-from tidewater.llm.scratch import Scratch
+from tidewater.llm.scratch import Scratch, unused_name
 
 #: Positions that count are 1. Whichever tokens differ within SHARE of a stretch or a shorter item, one mask finds its own equal.
 MASKS = ("111000111", "110101011", "101101101", "111111", "1111011", "1101111", "11101101")
@@ -171,5 +171,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows whose text holds no passage of the benchmark, all columns as they are; rows without a doc_id stay."""
-    gone = leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = unused_name(docs, "gone")
+    gone = leaks(docs, benchmark, scratch).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")

@@ -1,22 +1,26 @@
 """Similarity join of documents on word n-grams, by partition of the universe and exact verification.
 
-1. Each document becomes a set of hashed n-grams; equal sets make one class, named by its least doc_id.
+1. Each document becomes a set of hashed n-grams; equal sets make one class.
 2. The sets' keys (partitions.py) are dealt out; in a bucket every set is paired with the least one, its
    hub. A batch sends a key on once, with the list of its sets.
-3. A pair is verified by the sets' symmetric difference, the residual. Sets that are linked with their
-   hub are done.
-4. Two other sets of a bucket share its hub, and differ by the difference of their residuals. If one of them is not linked
-   with the hub, their residuals must have about half of the smaller one in common, so a prefix of the
-   rarest elements finds every such pair without trying all of them. Large hubs are cut into blocks.
+3. A pair is tested by signatures first. A signature holds the parity of the number of elements in each of its
+   bits, so two sets differ in as many elements at least as their signatures in bits: what the test refuses
+   is not linked, and nothing is lost. What passes is verified on whole sets. A set that is linked with its
+   hub is done with it.
+4. Two other sets of a bucket may be linked with each other. That matters only if one of them is lone, not linked
+   with the hub. The lone sets of a group are tested against all its members by signatures, and what passes
+   is verified. A group with more than BLOCK lone sets is dealt out by elements first, those that the hub lacks before others:
+   linked sets share one in the prefixes of their orders, so sets that only share a passage with the hub part.
 5. The links make components by star contraction.
 
-Joins whose sides grow with the input are all sorted and merged, whatever their size, so plans and costs are
-alike at every size and adaptive execution can split the partitions of a hot key.
+Signatures are a small share of the sets, and whole sets travel only for pairs that signatures let through, so
+the keys are the largest exchange. Joins whose sides grow with the input are all sorted and merged, whatever
+their size, so plans and costs are alike at every size and adaptive execution can split the partitions of a hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,12 @@ from xxhash import xxh3_128_digest
 from tidewater.llm.components import components
 from tidewater.llm.kernels import binary, hash_words, pieces, signed, window_hashes
 from tidewater.llm.partitions import set_keys
-from tidewater.llm.scratch import Scratch
+from tidewater.llm.scratch import Scratch, unused_name
 
-#: Sets of a hub in one block.
+#: Lone sets of a group that a task compares at once, and sets of a hub in one block.
 BLOCK = 1024
+#: Bits of a signature: about the size of the set, within these.
+LEAST_BITS, MOST_BITS = 64, 1 << 17
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -39,17 +45,38 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(window_hashes(hash_words(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """For each of about len(s) bits, whether an odd number of elements falls on it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many elements sets differ at least, from the rows of two arrays of 64-bit words; the wider is folded."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _words_of(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+
+
 def _index(docs: DataFrame, n: int) -> DataFrame:
-    """Per document: doc_id, n_shingles and a 128-bit name of its set (f, g)."""
+    """Per row of (node, doc_id, text): node, doc_id, n_shingles, a 128-bit name of its set (f, g) and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 8_000_000):
-            sets = [shingles(text, n) for text in binary(b.column(1))]
+            sets = [shingles(text, n) for text in binary(b.column(2))]
             names = np.frombuffer(b"".join([xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], names=["doc_id", "n_shingles", "f", "g"])
+            columns = [b.column(0), b.column(1), pa.array(size), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(list(map(signature, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "n_shingles", "f", "g", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long")
+    return docs.mapInArrow(run, "node long, doc_id long, n_shingles long, f long, g long, signature binary")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -116,128 +143,171 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].astype(bool))], names=["hub", "doc", "crowded"])
 
 
-def _hub_pairs(docs: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
+def _hub_pairs(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Distinct (hub, doc) pairs over all keys, and whether any of their buckets is crowded."""
-    rows = _keys(docs, n, p, q).repartition("key").sortWithinPartitions("key", "hub")
+    rows = _keys(docs.select("node", "text"), n, p, q).repartition("key").sortWithinPartitions("key", "hub")
     found = rows.mapInArrow(_across, "hub long, doc long, crowded boolean")
-    return scratch.write(found.groupBy("hub", "doc").agg(F.max("crowded").alias("crowded")), "pairs")
+    return found.groupBy("hub", "doc").agg(F.max("crowded").alias("crowded"))
 
 
-def _most(x: int, y: int, p: int, q: int) -> int:
+def _most(x: np.ndarray | int, y: np.ndarray | int, p: int, q: int) -> np.ndarray | int:
     """Differences that two linked sets of these sizes can have."""
     return (x + y) * (q - p) // (q + p)
 
 
-def _residuals(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(hub, block, doc, hub_size, size, is_linked, residual); the hub's own set goes to each of its blocks.
+def _tested(pairs: DataFrame, index: DataFrame, p: int, q: int) -> DataFrame:
+    """(hub, doc, crowded) with the size and signature of doc, and whether hub and doc may be linked."""
+    of = index.select("node", "n_shingles", "signature")
+    rows = pairs.join(of.toDF("hub", "hub_size", "hub_signature").hint("merge"), "hub").join(of.toDF("doc", "size", "signature").hint("merge"), "doc")
 
-    Residuals are kept for crowded pairs only: two other sets of a hub that share a key crowd its bucket.
-    """
-    blocks = pairs.select("hub", "doc", "crowded", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("r"))
-    number = blocks.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = blocks.join(number.hint("merge"), "hub").select("hub", "doc", "crowded", (F.col("r") % F.col("blocks")).alias("block"))
-    own = number.select("hub", F.col("hub").alias("doc"), F.lit(False).alias("crowded"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = members.union(own.select("hub", "doc", "crowded", "block")).join(sets.hint("merge"), F.col("doc") == F.col("doc_id")).select("hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "crowded", "elements")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+            a, s = b.column(5).to_pylist(), b.column(6).to_pylist()
+            apart = np.empty(b.num_rows, np.int64)
+            widths = np.array([(len(i), len(j)) for i, j in zip(a, s, strict=True)], np.int64).reshape(-1, 2)
+            for pair in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == pair).all(axis=1))
+                apart[at] = differences(_words_of([a[i] for i in at]), _words_of([s[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), b.column(6), pa.array(apart <= _most(x, y, p, q))], names=["hub", "doc", "crowded", "size", "signature", "may"])
+
+    return rows.select("hub", "doc", "crowded", "hub_size", "size", "hub_signature", "signature").mapInArrow(run, "hub long, doc long, crowded boolean, size long, signature binary, may boolean")
+
+
+def _sets(source: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(node, elements) of all sets of some (hub, doc) pairs; a row without words has no set."""
+    needed = pairs.select(F.col("hub").alias("node")).union(pairs.select("doc")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 8_000_000):
+            sets = [shingles(t, n).tobytes() for t in binary(b.column(1))]
+            rows = pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
+            yield rows.filter(pa.array(list(map(bool, sets))))
+
+    return source.select("node", "text").join(needed.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, elements binary")
+
+
+def _beside_hub(pairs: DataFrame, sets: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """What a kernel gives for (g, hub, doc, hub's set, doc's set) of each pair; the hub's own set goes to each block of its pairs."""
+    rows = pairs.select("g", "hub", "doc", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("r"))
+    number = rows.groupBy("g", "hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = rows.join(number.hint("merge"), ["g", "hub"]).select("g", "hub", "doc", (F.col("r") % F.col("blocks")).alias("block"))
+    own = number.select("g", "hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = members.union(own).join(sets.hint("merge"), F.col("doc") == F.col("node")).select("g", "hub", "block", (F.col("doc") != F.col("hub")).alias("member"), "doc", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
+        at, own = None, np.empty(0, np.uint64)
         for b in batches:
-            out = []
-            for hub, block, member, doc, crowded, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            out: list[tuple] = []
+            for g, hub, block, member, doc, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if not member:
-                    at, own = (hub, block), s
+                    at, own = (g, hub, block), s
                     continue
-                if at != (hub, block):
+                if at != (g, hub, block):
                     raise ValueError("a hub without its set")
-                res = np.setxor1d(own, s, assume_unique=True)
-                out.append((hub, block, doc, len(own), len(s), len(res) <= _most(len(own), len(s), p, q), res.tobytes() if crowded else None))
+                out += kernel(g, hub, doc, own, s)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _RESIDUAL.values(), strict=True)], names=list(_RESIDUAL))
+                names = [x.split()[0] for x in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    return rows.repartition("g", "hub", "block").sortWithinPartitions("g", "hub", "block", "member").mapInArrow(run, schema)
+
 
-    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "member").mapInArrow(run, "hub long, block long, doc long, hub_size long, size long, is_linked boolean, residual binary")
+def _verified(pairs: DataFrame, source: DataFrame, n: int, p: int, q: int, scratch: Scratch, name: str) -> DataFrame:
+    """The linked ones among distinct (hub, doc) pairs."""
 
+    def kernel(g: int, hub: int, doc: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        return [(hub, doc)] if len(np.setxor1d(a, b, assume_unique=True)) <= _most(len(a), len(b), p, q) else []
 
-_RESIDUAL = {"hub": pa.int64(), "block": pa.int64(), "doc": pa.int64(), "hub_size": pa.int64(), "size": pa.int64(), "is_linked": pa.bool_(), "residual": pa.binary()}
+    sets = scratch.write(_sets(source, pairs, n), "sets")
+    found = scratch.write(_beside_hub(pairs.withColumn("g", F.lit(0).cast("long")), sets, kernel, "hub long, doc long"), name)
+    scratch.drop("sets")
+    return found
 
 
-def _linked_members(members: list[tuple], p: int, q: int) -> list[tuple[int, int]]:
-    """Linked pairs of a hub's members, one of them at least not linked with the hub.
+def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
+    """(hub, doc) of lone sets and other members of their group that signatures let through.
 
-    members: (block, doc, hub_size, size, is_linked, residual); pairs within a block are left to that
-    block's own turn unless all members are of one block.
+    Lone sets and members are cut into blocks; a task holds BLOCK lone sets and walks a block of members. No pair is
+    written unless its signatures allow a link.
     """
-    members = sorted(m for m in members if m[5])
-    one = members[0][0] == members[-1][0] if members else True
-    if all(m[4] for m in members):
-        return []
-    res = [np.frombuffer(m[5], np.uint64) for m in members]
-    count = np.array([len(r) for r in res])
-    owner = np.repeat(np.arange(len(res)), count)
-    values, element = np.unique(np.concatenate(res), return_inverse=True)
-    often = np.bincount(element)
-    order = np.lexsort((element, often[element], owner))  # of each member, the rarest first
-    element = element[order]
-    first = np.r_[0, np.cumsum(count)][:-1]
-    place = np.arange(len(element)) - first[owner]
-    hub_size, size = np.array([m[2] for m in members]), np.array([m[3] for m in members])
-    block, lone = np.array([m[0] for m in members]), np.array([not m[4] for m in members])
-    # of each member's residual, what any partner that is not linked with the hub must share at least
-    share = np.maximum(1, -(-(count * (q + p) + (q - p) * (hub_size - size)) // (2 * (q + p))))
-    prefix = place <= (count - share)[owner]
-    by_element = np.argsort(element[prefix], kind="stable")
-    y_element, y_owner, y_place = element[prefix][by_element], owner[prefix][by_element], place[prefix][by_element]
-    found: set[tuple[int, int]] = set()
-    most = lambda a, b: (size[a] + size[b]) * (q - p) // (q + p)
-    for x in np.flatnonzero(lone).tolist():
-        mine = element[first[x] : first[x] + count[x]]
-        lo, hi = np.searchsorted(y_element, mine), np.searchsorted(y_element, mine, "right")
-        n = hi - lo
-        if not n.any():
-            continue
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        y, left = y_owner[at], count[y_owner[at]] - y_place[at]
-        need = -(-(count[x] + count[y] - most(x, y)) // 2)
-        y = np.unique(y[(left >= need) & (y != x) & (~lone[y] | (y < x)) & (one | (block[y] != block[x]))])
-        mine_sorted = np.sort(mine)
-        for k in y.tolist():
-            other = element[first[k] : first[k] + count[k]]
-            at = np.searchsorted(mine_sorted, other)
-            at[at == len(mine_sorted)] = 0
-            common = int((mine_sorted[at] == other).sum())
-            if count[x] + count[k] - 2 * common <= most(x, k):
-                found.add((members[x][1], members[k][1]))
-    return sorted(found)
-
-
-def _hub_links(residuals: DataFrame, p: int, q: int) -> DataFrame:
-    """Links between members of a hub; the members of two blocks at a time meet in a task."""
-    residuals = residuals.where("residual IS NOT NULL")
-    some = residuals.groupBy("hub").agg(F.max("block").alias("last"), F.count("*").alias("n"), F.count_if(~F.col("is_linked")).alias("lone")).where("lone > 0 AND n > 1").select("hub", "last")
-    rows = residuals.join(some.hint("merge"), "hub")
-    # a block meets itself and each other block once
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
-    rows = rows.withColumn("meet", F.explode(meet)).select("hub", "meet.a", "meet.b", "block", "doc", "hub_size", "size", "is_linked", "residual")
+    rows = members.join(groups.hint("merge"), ["g", "hub"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("lone_blocks", F.ceil(F.col("n_lone") / BLOCK))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    home = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    place = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
+    as_member = F.transform(numbers("lone_blocks"), lambda a: place(a, home("blocks"), 1))
+    as_lone = F.transform(numbers("blocks"), lambda b: place(home("lone_blocks"), b, 0))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("lone"), F.concat(as_lone, as_member)).otherwise(as_member)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-                if row[:3] != at:
-                    out += _linked_members(held, p, q)
-                    at, held = row[:3], []
-                held.append(row[3:])
-            if out:
-                yield _links_batch(out)
-        if out := _linked_members(held, p, q):
-            yield _links_batch(out)
+        at, held = None, {}
+        for batch in batches:
+            u, v = [], []
+            for g, hub, a, b, kind, doc, size, is_lone, raw in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if at != (g, hub, a, b):
+                    at, held = (g, hub, a, b), {}
+                s = np.frombuffer(raw, np.uint64)
+                if not kind:  # lone sets come first, in lists by the width of their signatures
+                    for x, y in zip(held.setdefault(len(s), ([], [], [])), (doc, size, s), strict=True):
+                        x.append(y)
+                    continue
+                for width, (docs, sizes, words) in held.items():
+                    if not isinstance(words, np.ndarray):
+                        docs, sizes, words = held[width] = np.array(docs), np.array(sizes), np.stack(words)
+                    may = differences(words, s[None, :]) <= _most(sizes, size, p, q)
+                    may &= (docs < doc) if is_lone else (docs != doc)
+                    u += np.minimum(docs[may], doc).tolist()
+                    v += np.maximum(docs[may], doc).tolist()
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["hub", "doc"])
+
+    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "lone", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
+    return rows.mapInArrow(run, "hub long, doc long").distinct()
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """(g, hub, n, n_lone) of groups with a lone set and another one."""
+    return members.groupBy("g", "hub").agg(F.count("*").alias("n"), F.count_if("lone").alias("n_lone")).where("n_lone > 0 AND n > 1")
 
-    return rows.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(run, "u long, v long")
 
+def _parts(members: DataFrame, groups: DataFrame, source: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
+    """The members of large groups dealt out by elements, each part a group of its own.
 
-def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
+    Elements are ordered by whether the hub has them, then by value. Two linked sets have at least p / q of
+    either in common, so the first elements of both, as many as a set may lack and one more, meet.
+    """
+
+    def kernel(g: int, hub: int, doc: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        known = np.isin(b, a, assume_unique=True)
+        first = np.r_[b[~known], b[known]][: len(b) - -(-len(b) * p // q) + 1]
+        return [(g, hub, doc, e) for e in signed(first).tolist()]
+
+    chosen = members.join(groups.select("g", "hub").hint("merge"), ["g", "hub"], "left_semi")
+    sets = scratch.write(_sets(source, chosen, n), "part_sets")
+    dealt = _beside_hub(chosen, sets, kernel, "g long, hub long, doc long, element long")
+    rows = dealt.join(chosen.select("g", "hub", "doc", "size", "lone", "signature").hint("merge"), ["g", "hub", "doc"])
+    return scratch.write(rows.select(F.xxhash64("g", "hub", "element").alias("g"), "hub", "doc", "size", "lone", "signature"), "parts")
+
+
+def _all_links(source: DataFrame, index: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
+    """(u, v): links between different sets, enough of them to reach all that links reach."""
+    pairs = scratch.write(_hub_pairs(source, n, p, q), "pairs")
+    tested = scratch.write(_tested(pairs, index, p, q), "tested")
+    scratch.drop("pairs")
+    links = _verified(tested.where("may").select("hub", "doc"), source, n, p, q, scratch, "linked")
+    members = tested.where("crowded").join(links.withColumn("is_linked", F.lit(True)).hint("merge"), ["hub", "doc"], "left").withColumn("lone", F.col("is_linked").isNull()).drop("is_linked").withColumn("g", F.col("hub"))
+    groups = scratch.write(_grouped(members), "groups")
+    some, many = groups.where(F.col("n_lone") <= BLOCK), groups.where(F.col("n_lone") > BLOCK)
+    beside = _lone_pairs(members, some, p, q)
+    if not many.isEmpty():
+        parts = _parts(members, many, source, n, p, q, scratch)
+        beside = beside.union(_lone_pairs(parts, _grouped(parts), p, q)).distinct()
+    beside = scratch.write(beside, "beside")
+    scratch.drop("tested")
+    if not beside.isEmpty():
+        links = links.union(_verified(beside, source, n, p, q, scratch, "linked_beside"))
+    return links.select(F.col("hub").alias("u"), F.col("doc").alias("v"))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -246,36 +316,41 @@ def similar_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, sc
     Two documents are linked when q times the size of the intersection of their n-gram sets is at
     least p times that of the union. Words are runs between ASCII blanks, A-Z in lower case. A text of
     fewer than n words has one n-gram, all its words; a null, empty or blank text has none and is linked
-    with nothing. Rows with a null doc_id are linked with nothing and have a null component_id; rows of
-    equal doc_id are one node. Every row of the input has one in the result; extra columns are ignored.
+    with nothing. Rows with a null doc_id are linked with nothing and have a null component_id. Rows of equal
+    doc_id are one document for links, which has every link of any of its texts, whatever their order. Every row of
+    the input has one in the result; extra columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     index = scratch.write(_index(source, n), "index")
-    pairs = _hub_pairs(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), n, p, q, scratch)
-    needed = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("doc")).distinct()
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 8_000_000):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in binary(b.column(1))], pa.binary())], names=["doc_id", "elements"])
-
-    chosen = source.where("doc_id IS NOT NULL AND text IS NOT NULL").join(needed.hint("merge"), "doc_id", "left_semi")
-    sets = scratch.write(chosen.mapInArrow(elements, "doc_id long, elements binary"), "sets")
-    residuals = scratch.write(_residuals(pairs, sets, p, q), "residuals")
-    for done in ("pairs", "sets"):
-        scratch.drop(done)
-    links = residuals.where("is_linked").select(F.col("hub").alias("u"), F.col("doc").alias("v")).union(_hub_links(residuals, p, q))
-    links = scratch.write(links, "links")
-    scratch.drop("residuals")
-    classes = index.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    # copies: every document that is not the least of its class is linked with it
-    copies = index.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.where("least < most").hint("merge"), ["f", "g"]).where("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    found = components(links.union(copies), scratch)
-    return index.select("doc_id", "n_shingles").join(found.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sets = index.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    repeated = sets.groupBy("doc_id").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.min("g").alias("c"), F.max("g").alias("d")).where("a <> b OR c <> d")
+    links = []
+    if not repeated.isEmpty():  # a doc_id with several texts: every row is a node, numbered in a table that stays
+        source = scratch.write(source.withColumn("node", F.monotonically_increasing_id()), "texts")
+        index = scratch.write(_index(source, n), "numbered")
+        sets = index.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        named = index.where("doc_id IS NOT NULL")
+        least = named.groupBy("doc_id").agg(F.min("node").alias("least"))
+        links = [named.join(least.hint("merge"), "doc_id").where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))]
+    found = _all_links(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), sets.select("node", "n_shingles", "signature").dropDuplicates(["node"]), n, p, q, scratch)
+    classes = sets.groupBy("f", "g").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    # copies: every node that is not the least of its class is linked with it
+    copies = sets.join(classes.where("least < most").hint("merge"), ["f", "g"]).where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    for more in [copies, *links]:
+        found = found.union(more)
+    found = components(found, scratch)
+    rows = index.select("node", "doc_id", "n_shingles").join(found.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
+    if not links:
+        return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    rows = scratch.write(rows, "rows")
+    least = rows.where("doc_id IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """The rows of each component's least document, all columns as they are; rows without a doc_id stay."""
     found = similar_documents(docs, n, p, q, scratch)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = unused_name(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col(name), "left_anti")

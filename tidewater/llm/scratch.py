@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables cut the lineage, so a lost executor costs only the tasks it ran."""
 
@@ -39,17 +44,7 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _settle(self) -> None:
-        """Lets Spark delete the shuffle files of finished plans, which it does when nothing refers to them any more."""
-        for _ in range(2):  # references from Python are given up with the calls of the first turn
-            gc.collect()
-            with contextlib.suppress(Exception):  # events that are still on their way only keep files longer
-                self.spark._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self._settle()
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from tidewater.llm.kernels import BASE_A, BASE_B, binary, flat_rows, hash_words, is_in, pieces, signed, sliding_min, window_hashes
-from tidewater.llm.scratch import Scratch
+from tidewater.llm.scratch import Scratch, unused_name
 
 
 def levels(window: int) -> list[int]:
@@ -200,8 +200,9 @@ def kept_words(docs: DataFrame, window: int = 50, scratch: Scratch | None = None
 
 def without_repeats(docs: DataFrame, window: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """The same rows and columns, with each text without the words that kept_words() removes."""
-    found = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "substrings")).select(F.col("doc_id").alias("__doc_id"), F.col("copies").alias("__copies"), F.col("found").alias("__found"))
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").select(*[docs[c] for c in docs.columns], "__copies", "__found")
+    of, copies, some = (unused_name(docs, c) for c in ("found_of", "found_copies", "found_windows"))
+    found = repeated_windows(docs, window, scratch or Scratch(docs.sparkSession, "substrings")).toDF(of, copies, some)
+    rows = docs.join(found, docs["doc_id"].cast("long") == F.col(of), "left").select(*[docs[c] for c in docs.columns], copies, some)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
