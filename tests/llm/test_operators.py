@@ -193,7 +193,41 @@ def test_grammar_marks_clauses():
         mark[text] = (toxicity.MARKS[int(f[:4].argmax())] if f[:4].any() else None) == name
     assert all(mark.values()), mark
     assert np.array(g.features("they kill you"))[4:8].any() and not np.array(g.features("to kill time"))[4:8].any()
-    assert len(toxicity.compose(1, 2)) == 8
+    f = np.array(g.features("you are not a snarg. he said vilkaa"))
+    assert f[2:4].all() and not f[-3:].any()  # negated and reported insults are no open ones
+
+
+def test_composition_equals_the_chain_of_transducers():
+    def chain(symbols):
+        """Every path through every machine, one machine after another; what the accepting ones write."""
+        rows = [[(s, 0.0) for s in symbols]]
+        for machine in toxicity.CHAIN:
+            out = []
+            for row in rows:
+                paths = [(0, [])]
+                for symbol, factor in row:
+                    paths = [(n, [*done, (written, factor + f)]) for state, done in paths for n, written, f in machine.step(state, symbol)]
+                out += [done for state, done in paths if state in machine.finals]
+            rows = out
+        return rows
+
+    rnd = random.Random(5)
+    for n in range(9):
+        for _ in range(60):
+            symbols = [rnd.choice(toxicity.ALPHABET) for _ in range(n)]
+            want = chain(symbols)
+            assert len(want) == 1 and toxicity.accepted(toxicity.MACHINE, symbols) == want[0], symbols
+    many = ["insult", "target"] * 20_000
+    assert len(toxicity.accepted(toxicity.MACHINE, many)) == len(many)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    texts, y = _labelled(spark, 200)
+    ids = [*range(len(texts)), *range(60)]
+    docs = _docs(spark, [*texts, *[t + " other" for t in texts[1:61]]], ids)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    got = [toxicity.fit(docs.repartition(n, F.rand(n)), labels) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and got[0][0]
 
 
 # -- 4 ------------------------------------------------------------------------------------------------

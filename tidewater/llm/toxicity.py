@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols: an insult or a threat (from a lexicon of weighted words and word beginnings),
-a target, a negation or a verb of reported speech. Four transducers each watch for one of the latter
-within a clause; their composition reads a clause and marks every insult or threat in it as plain, aimed
-at a target, negated or reported. A document's score comes from the weights of its marked clauses, not
-from words alone: one logistic curve over the clauses' marks, their number and how dense they are.
+A lexicon reads words as symbols with weights: insults and threats, targets, negations and verbs of reported
+speech. Five transducers read a clause one after another: the first marks what stands in reported speech, the
+next what is negated, the third what is aimed at a target before or after it, the last two accept insults and
+threats by their marks and weigh them. They are composed into one machine, which has one accepting path through
+any clause. A document's score comes from what these paths accept, not from words alone: one logistic curve
+over the weights by mark, and over the number, density and presence of insults that are neither negated nor reported.
 
 Lexicon and curve are fitted on a bounded sample of labelled rows.
 """
@@ -12,7 +13,9 @@ Lexicon and curve are fitted on a bounded sample of labelled rows.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.kernels import hash_words, pieces
+from tidewater.llm.scratch import Scratch
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most: those of least hash of doc_id.
 SAMPLE = 8000
-#: Entries of the lexicon, at most.
-ENTRIES = 400
 #: An entry stands in at least so many toxic texts of different kinds in the sample, or this share of them, and is this much
 #: likelier in them; fewer texts would let words in that are toxic by chance.
 LEAST_TEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 4, 0.01, 2.5
@@ -38,35 +40,115 @@ NEGATIONS = frozenset("not no never nor isn't aren't wasn't don't doesn't didn't
 REPORTS = frozenset("said says say told tells wrote writes called calls quoted reported claims claimed sagte sagt schrieb nannte behauptet dit disait écrit écrivait appelle déclaré dijo dice escribió llamó afirma".split())
 THREATS = frozenset("kill hurt destroy beat punch shoot stab töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
 _END = 8  # the word ends a clause
 _STRIP = ".,;:!?\"'()[]{}<>*#%$&|-_«»“”¡¿…"
 _ENDS = frozenset(".,;:!?…")
 
 
-def compose(*watchers: int) -> dict[tuple[int, int], int]:
-    """The product of two-state transducers, each of which goes to its second state on its symbol.
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs lead from (state, symbol) to (next state, symbol written, factor); a symbol that no arc reads is copied."""
 
-    The state is a bit set; arcs lead from (state, symbol) to the next state, and every state may be last.
-    """
-    return {(state, symbol): state | (1 << k) for state in range(1 << len(watchers)) for k, symbol in enumerate(watchers)}
+    arcs: dict[tuple[int, str], tuple[tuple[int, str, float], ...]]
+    finals: frozenset[int]
+
+    @cached_property
+    def reads(self) -> frozenset[str]:
+        return frozenset(symbol for _, symbol in self.arcs)
+
+    def step(self, state: int, symbol: str) -> tuple[tuple[int, str, float], ...]:
+        return self.arcs.get((state, symbol), ()) if symbol in self.reads else ((state, symbol, 0.0),)
 
 
-WATCH = compose(TARGET, NEGATION, REPORT)
-#: What the states say of an insult or threat: reported speech outweighs negation, negation a target.
+def compose(first: Transducer, second: Transducer, alphabet: Sequence[str]) -> Transducer:
+    """The machine that hands what the first writes to the second; factors add up."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+    while todo:
+        a, b = todo.pop()
+        for symbol in alphabet:
+            out = []
+            for a2, between, x in first.step(a, symbol):
+                for b2, written, y in second.step(b, between):
+                    if (a2, b2) not in number:
+                        number[a2, b2] = len(number)
+                        todo.append((a2, b2))
+                    out.append((number[a2, b2], written, x + y))
+            arcs[number[a, b], symbol] = tuple(out)
+    return Transducer(arcs, frozenset(n for (a, b), n in number.items() if a in first.finals and b in second.finals))
+
+
+ALPHABET = ("insult", "threat", "target", "negation", "report")
 MARKS = ("plain", "aimed", "negated", "reported")
+_HITS = ("insult", "threat")
+
+
+def _after(sign: str, mark: str) -> Transducer:
+    """Marks every insult and threat that follows a sign in the clause."""
+    arcs = {(state, sign): ((1, sign, 0.0),) for state in (0, 1)}
+    for hit in _HITS:
+        arcs |= {(0, hit): ((0, hit, 0.0),), (1, hit): ((1, f"{hit} {mark}", 0.0),)}
+    return Transducer(arcs, frozenset((0, 1)))
+
+
+def _aimed() -> Transducer:
+    """Marks insults and threats as aimed if a target stands in the clause, before or after them, else as plain.
+
+    States: no target yet, a target seen, a target promised, none may follow. The promise must be kept.
+    """
+    none, seen, promised, barred = range(4)
+    arcs = {(state, "target"): ((seen, "target", 0.0),) for state in (none, seen, promised)}
+    for hit in _HITS:
+        aimed, plain = f"{hit} aimed", f"{hit} plain"
+        arcs[none, hit] = ((promised, aimed, 0.0), (barred, plain, 0.0))
+        arcs |= {(seen, hit): ((seen, aimed, 0.0),), (promised, hit): ((promised, aimed, 0.0),), (barred, hit): ((barred, plain, 0.0),)}
+    return Transducer(arcs, frozenset((none, seen, barred)))
 
 
-def _mark(before: int, after: int) -> int:
-    """The mark of a symbol read in a state, in a clause that ends in another; a target may follow."""
-    return 3 if before & 4 else 2 if before & 2 else 1 if after & 1 else 0
+def _accepts(hit: str, factors: dict[str, float]) -> Transducer:
+    """Weighs the marks of insults or of threats."""
+    return Transducer({(0, f"{hit} {mark}"): ((0, f"{hit} {mark}", factor),) for mark, factor in factors.items()}, frozenset((0,)))
 
 
-FEATURES = 2 * len(MARKS) + 3
+REPORTED, NEGATED, AIMED = _after("report", "reported"), _after("negation", "negated"), _aimed()
+INSULTS = _accepts("insult", dict.fromkeys(MARKS, 1.0))
+THREATS_ACCEPTED = _accepts("threat", {"plain": 0.0, "aimed": 1.0, "negated": 1.0, "reported": 1.0})  # a threat needs a target
+CHAIN = (REPORTED, NEGATED, AIMED, INSULTS, THREATS_ACCEPTED)
+
+
+def compose_all(chain: Sequence[Transducer]) -> Transducer:
+    machine = chain[0]
+    for following in chain[1:]:
+        machine = compose(machine, following, ALPHABET)
+    return machine
+
+
+MACHINE = compose_all(CHAIN)
+
+
+def accepted(machine: Transducer, symbols: Sequence[str]) -> list[tuple[str, float]]:
+    """What the accepting path writes for each symbol, and its factor."""
+    paths: dict[int, tuple | None] = {0: None}
+    for symbol in symbols:
+        ahead = {}
+        for state, path in paths.items():
+            for following, written, factor in machine.step(state, symbol):
+                ahead[following] = (path, written, factor)
+        paths = ahead
+    path = next(p for state, p in paths.items() if state in machine.finals)
+    out = []
+    while path is not None:
+        path, written, factor = path
+        out.append((written, factor))
+    return out[::-1]
+
+
+SLOTS = {f"{hit} {mark}": k for k, (hit, mark) in enumerate((h, m) for h in _HITS for m in MARKS)}
+OPEN = ("insult plain", "insult aimed")
+FEATURES = len(SLOTS) + 3
 
 
 class Grammar:
-    """The lexicon as a transducer from words to symbols and weights, and the clause automaton."""
+    """The lexicon as a transducer from words to symbols and weights, before the composed machine."""
 
     def __init__(self, entries: dict[str, float]):
         self.words = {e[1:-1]: w for e, w in entries.items() if e[-1] == "$"}
@@ -85,15 +167,16 @@ class Grammar:
         return 0.0
 
     def symbol(self, raw: str) -> int:
+        """1 and on for the symbols of ALPHABET, 0 for other words, and whether the word ends a clause."""
         word = raw.strip(_STRIP)
         w = self.weight(word)
-        kind = INSULT if w else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else 0
+        kind = 2 if word in THREATS else 1 if w else 3 if word in TARGETS else 4 if word in NEGATIONS else 5 if word in REPORTS else 0
         if w:
             self.weights[raw] = w
         return kind | (_END if raw[-1] in _ENDS else 0)
 
     def features(self, text: str) -> list[float]:
-        """Sums of weights by kind and mark, the number of distinct insults, their density and whether there are any."""
+        """Sums of accepted weights by kind and mark; distinct open insults, their density and whether there are any."""
         out = np.zeros(FEATURES)
         words = text.lower().split()
         if not words:
@@ -105,31 +188,24 @@ class Grammar:
         known.update((w, self.symbol(w)) for w in new)
         codes = np.fromiter(map(known.__getitem__, words), np.int8, len(words))
         kinds = codes & 7
-        hits = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
+        hits = np.flatnonzero((kinds == 1) | (kinds == 2))
         if not len(hits):
             return out.tolist()
         ends = np.flatnonzero(codes & _END)
-        clause = np.searchsorted(ends, hits)
-        total = 0.0
-        for c in np.unique(clause).tolist():
+        total, distinct = 0.0, set()
+        for c in np.unique(np.searchsorted(ends, hits)).tolist():
             a = int(ends[c - 1]) + 1 if c else 0
             b = int(ends[c]) + 1 if c < len(ends) else len(words)
-            state, seen = 0, []
-            for i in np.flatnonzero(kinds[a:b]).tolist():
-                kind = int(kinds[a + i])
-                if kind in (INSULT, THREAT):
-                    seen.append((kind, state, self.weights.get(words[a + i], 1.0)))
-                else:
-                    state = WATCH[state, kind]
-            for kind, before, w in seen:
-                mark = _mark(before, state)
-                if kind == THREAT and not state & 1:
-                    continue  # a threat needs a target
-                out[(kind - 1) * len(MARKS) + mark] += w
-                total += w if kind == INSULT else 0
-        distinct = len({words[i].strip(_STRIP) for i in hits.tolist() if kinds[i] == INSULT})
-        out[: 2 * len(MARKS)] = np.log1p(out[: 2 * len(MARKS)])
-        out[-3:] = np.log1p(distinct), np.log1p(100 * total / len(words)), float(total > 0)
+            at = (a + np.flatnonzero(kinds[a:b])).tolist()
+            for i, (written, factor) in zip(at, accepted(MACHINE, [ALPHABET[kinds[i] - 1] for i in at]), strict=True):
+                if factor:
+                    weight = factor * self.weights.get(words[i], 1.0)
+                    out[SLOTS[written]] += weight
+                    if written in OPEN:
+                        total += weight
+                        distinct.add(words[i].strip(_STRIP))
+        out[: len(SLOTS)] = np.log1p(out[: len(SLOTS)])
+        out[-3:] = np.log1p(len(distinct)), np.log1p(100 * total / len(words)), float(total > 0)
         return out.tolist()
 
 
@@ -176,7 +252,7 @@ def choose_entries(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
     odds = {f: w for f, w in odds.items() if w >= LEAST_LOG_ODDS}
     kept: dict[str, float] = {}
     counted: Counter[int] = Counter()
-    while odds and len(kept) < ENTRIES:
+    while odds:
         gain = {f: sum(counted[k] < 3 for k in groups[f]) * min(odds[f], 4.0) for f in odds}
         best = max(gain, key=lambda f: (gain[f], len(f), f))
         if sum(counted[k] < 3 for k in groups[best]) < least:
@@ -189,19 +265,23 @@ def choose_entries(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled rows; a document labelled twice counts as toxic if one label says so."""
+    """(text, toxic) of at most ``most`` labelled documents; one that is labelled twice counts as toxic if one label says so.
+
+    Of several texts of one doc_id the least counts, so the order and the partitions of rows change nothing.
+    """
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ``most`` pairs of numbers: small enough to send
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", F.xxhash64("doc_id").alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", F.xxhash64("doc_id").alias("at"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    """Entries and the curve's coefficients, from at most ``most`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, scratch: Scratch | None = None) -> tuple[dict[str, float], list[float]]:
+    """Entries and the curve's coefficients, from at most ``most`` labelled rows, which are written once and read twice.
 
     Without toxic or without other rows there is nothing to tell apart: no entries, and a curve that
     gives every text the share of toxic rows, smoothed.
     """
-    sample = _sample(docs, labels, most)
+    sample = (scratch or Scratch(docs.sparkSession, "toxicity")).write(_sample(docs, labels, most), "sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((t, y) for b in pieces(batches, 8_000_000) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -214,9 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[dict[st
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(entries)
         for b in pieces(batches, 8_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array([grammar.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([grammar.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())), b.column(2)], names=["at", "x", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
+    rows = sorted(sample.select("at", "text", "toxic").mapInArrow(measure, "at long, x array<double>, toxic int").collect())
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     return entries, curve(x, np.array([r.toxic for r in rows], float)).tolist()
 
@@ -246,10 +326,10 @@ def score_texts(texts: list[str | None], grammar: Grammar, beta: np.ndarray) ->
 def scores(docs: DataFrame, entries: dict[str, float], beta: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs and ``toxicity`` (0 to 1), ``toxic`` (toxicity >= threshold).
 
-    A null or blank text gets the score of a text without any match. The two columns replace columns of
-    their names; the text alone is read.
+    Every row is scored by its own text, so rows of equal text have equal scores, whatever their doc_id. A null or
+    blank text gets the score of a text without any match. The two columns replace columns of their names in any case.
     """
-    docs = docs.drop("toxicity", "toxic")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("toxicity", "toxic")])
     at = docs.columns.index("text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["toxicity double", "toxic boolean"])
 
