@@ -94,5 +94,35 @@ def test_keys_and_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/table"
     sinks.upsert_parquet(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
     sinks.upsert_parquet(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path + "/_current").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, sinks.read_current(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    (tmp_path / "table" / "version=9").mkdir()  # a writer that was cut off
+    sinks.upsert_parquet(spark, spark.createDataFrame([(4, "e")], "k int, v string"), path, ["k"])
+    assert sorted(map(tuple, sinks.read_current(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
+    assert sinks.read_current(spark, path + "x") is None
+    for _ in range(2):  # a batch that is written again
+        sinks.write_results(spark.createDataFrame([(1, "a")], "file_key int, v string"), f"{path}_results", batch="b1")
+    assert spark.read.parquet(f"{path}_results").count() == 1
+    sinks.write_json(spark.createDataFrame([(0.5, 1), (0.9, 2)], "accuracy double, k int"), f"{path}_json")
+    assert [r.k for r in sinks.read_results_json(spark, f"{path}_json", "accuracy").collect()] == [2, 1]
     assert sinks.param_hash({"a": 1, "b": sinks.param_hash}) == sinks.param_hash({"b": sinks.param_hash, "a": 1})
+
+
+def test_upsert_statement():
+    import sqlite3
+
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE TABLE t (a INT, b INT, v TEXT, PRIMARY KEY (a, b))")
+    c.execute("CREATE TABLE t_staged (a INT, b INT, v TEXT)")
+    c.execute("INSERT INTO t VALUES (1, 1, 'old'), (1, 2, 'stays')")
+    c.execute("INSERT INTO t_staged VALUES (1, 1, 'new'), (2, 1, 'added')")
+    for _ in range(2):
+        c.execute(sinks.upsert_sql("t", "t_staged", ["a", "b", "v"], ["a", "b"]))
+    assert sorted(c.execute("SELECT * FROM t")) == [(1, 1, "new"), (1, 2, "stays"), (2, 1, "added")]
+    assert sinks.upsert_sql("t", "s", ["a"], ["a"]).endswith("DO NOTHING")
+
+
+def test_equal_keys_stay_apart(spark):
+    clips = spark.createDataFrame([("a", drops(2).tolist(), True), ("a", drops(2).tolist(), False)], "source_file string, clip array<double>, raining boolean")
+    assert batch.process(clips, [batch.rain_processor()]).count() == 2
+    wet = clips.withColumn("clip", F.flatten(F.array_repeat("clip", 40))).withColumn("time", F.lit(dt.datetime(2024, 1, 1)))
+    assert O.minute_rows(wet).count() == 2 * O.minute_rows(wet.limit(1)).count()

@@ -15,8 +15,8 @@ from tidewater.functions import detectors as D
 Kernel = Callable[[np.ndarray], dict]
 
 
-def per_clip(clips: DataFrame, kernel: Kernel, fields: Sequence[tuple[str, pa.DataType, str]], key: str = "source_file", clip: str = "clip") -> DataFrame:
-    """(key, fields..., error): the kernel's result for each clip; one that fails has nulls and says why. No shuffle."""
+def per_clip(clips: DataFrame, kernel: Kernel, fields: Sequence[tuple[str, pa.DataType, str]], key: str = "source_file", clip: str = "clip", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, kept columns..., fields..., error): the kernel's result for each clip; one that fails has nulls and says why. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -30,10 +30,10 @@ def per_clip(clips: DataFrame, kernel: Kernel, fields: Sequence[tuple[str, pa.Da
                         error = f"{type(e).__name__}: {e}"
                 rows.append(row)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r.get(n) for r in rows], t) for n, t, _ in fields], pa.array(errors, pa.string())], names=[key, *[f[0] for f in fields], "error"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *[pa.array([r.get(n) for r in rows], t) for n, t, _ in fields], pa.array(errors, pa.string())], names=[key, *keep, *[f[0] for f in fields], "error"])
 
-    kind = dict(clips.dtypes)[key]
-    return clips.select(key, F.col(clip).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {s}" for n, _, s in fields) + ", error string")
+    kinds = dict(clips.dtypes)
+    return clips.select(key, F.col(clip).cast("array<double>"), *keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", " + ", ".join(f"{n} {s}" for n, _, s in fields) + ", error string")
 
 
 def _list(t: pa.DataType) -> pa.DataType:
@@ -115,19 +115,20 @@ def minute_rows(clips: DataFrame, start: str = "time", rate: int = 11162, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, minutes, rows = [], [], []
-            for k, x, second in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            at, minutes, rows = [], [], []
+            for i, (x, second) in enumerate(zip(b.column(1), b.column(2).to_pylist(), strict=True)):
                 if x.is_valid:
                     for m, h in enumerate(D.minute_histograms(np.asarray(x.values, float), float(second or 0), rate)[0]):
-                        names.append(k)
+                        at.append(i)
                         minutes.append(m)
                         rows.append(h.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array(minutes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["k", "m", "h"])
+            own = [b.column(c).take(pa.array(at, pa.int64())) for c in (0, 3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(minutes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["k", "s", "m", "h"])
 
-    made = spread.select(F.col(key).alias("k"), F.col("clip").cast("array<double>"), "second").mapInArrow(run, f"k {dict(clips.dtypes)[key]}, m bigint, h array<bigint>")
-    rows = made.withColumnRenamed("k", key).join(clips.select(key, start), key)
-    edge = F.date_trunc("minute", F.col(start)) + F.make_interval(mins=(F.col("m") + 1).cast("int"))
-    return rows.select(key, edge.alias("until"), F.slice("h", 1, 32).alias("dsd"), F.slice("h", 33, 30).alias("peaks"), F.slice("h", 63, 38).alias("codes"))
+    kinds = dict(clips.dtypes)
+    rows = spread.select(F.col(key).alias("k"), F.col("clip").cast("array<double>"), "second", F.col(start).alias("s")).mapInArrow(run, f"k {kinds[key]}, s {kinds[start]}, m bigint, h array<bigint>")
+    edge = F.date_trunc("minute", F.col("s")) + F.make_interval(mins=(F.col("m") + 1).cast("int"))
+    return rows.select(F.col("k").alias(key), edge.alias("until"), F.slice("h", 1, 32).alias("dsd"), F.slice("h", 33, 30).alias("peaks"), F.slice("h", 63, 38).alias("codes"))
 
 
 def novelty_metrics(clips: DataFrame, config: D.NoveltyConfig = D.NoveltyConfig(), key: str = "source_file") -> DataFrame:

@@ -71,13 +71,22 @@ def band_table(spark, bands: Sequence[tuple[str, float, float]]) -> DataFrame:
     return spark.createDataFrame(list(bands), "band string, low double, high double")
 
 
-def in_bands(bins: DataFrame, bands: DataFrame, hz: str = "hz") -> DataFrame:
-    """Bins with each band that holds them: low included, high not, but for the last band's."""
+def in_bands(bins: DataFrame, bands: DataFrame, hz: str = "hz", width: float = 100.0) -> DataFrame:
+    """Bins with each band that holds them: low included, high not, but for the last band's.
+
+    Bands are listed under each stretch of ``width`` that they touch, so the join is one on equal stretches,
+    which Spark plans by the sizes it knows.
+    """
     last = bands.agg(F.max("high").alias("last"))
-    bands = bands.crossJoin(F.broadcast(last))
-    return bins.join(F.broadcast(bands), (F.col(hz) >= F.col("low")) & ((F.col(hz) < F.col("high")) | ((F.col("high") == F.col("last")) & (F.col(hz) == F.col("high"))))).drop("last")
+    of = lambda c: F.floor(F.col(c) / width)
+    dealt = bands.crossJoin(F.broadcast(last)).withColumn("stretch_no", F.explode(F.sequence(of("low"), of("high"))))  # last is one row
+    inside = (F.col(hz) >= F.col("low")) & ((F.col(hz) < F.col("high")) | ((F.col("high") == F.col("last")) & (F.col(hz) == F.col("high"))))
+    return bins.withColumn("stretch_no", of(hz)).join(dealt, "stretch_no").where(inside).drop("last", "stretch_no")
 
 
 def latest(df: DataFrame, key: Sequence[str], by: Sequence[Column]) -> DataFrame:
     """The first row of each key by the order given."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where("__n = 1").drop("__n")
+    name = "row_no"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col(name) == 1).drop(name)

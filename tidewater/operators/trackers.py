@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Step = Callable[[float], float]
@@ -88,34 +88,14 @@ def asymmetric_average(up: float = 0.6, down: float = 0.95) -> Callable[[], Step
     return make
 
 
-def hold_mask(rise: float, hold: int) -> Callable[[], Step]:
-    """1 where a value exceeds the one before by ``rise``, and for ``hold`` values after."""
-
-    def make() -> Step:
-        state: list[float] = [float("nan"), 0]
-
-        def step(x: float) -> float:
-            hit = x - state[0] >= rise
-            on = hit or state[1] > 0
-            state[:] = x, hold if hit else max(state[1] - 1, 0)
-            return float(on)
-
-        return step
-
-    return make
+def with_hold_mask(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], rise: float, hold: int, name: str) -> DataFrame:
+    """1 where a value exceeds the one before by ``rise``, and for ``hold`` values after; one window of each key."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    hit = F.coalesce((F.col(value) - F.lag(value).over(w) >= rise).cast("double"), F.lit(0.0))
+    return df.withColumn(name, hit).withColumn(name, F.max(name).over(w.rowsBetween(-hold, 0)))
 
 
-def duty_cycle() -> Callable[[], Step]:
+def with_duty_cycle(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """1 for each minute that is analysed in full: the minute before was positive; the first is not."""
-
-    def make() -> Step:
-        wet = [False]
-
-        def step(x: float) -> float:
-            before = wet[0]
-            wet[0] = x > 0
-            return float(before)
-
-        return step
-
-    return make
+    before = F.lag(F.col(value) > 0).over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn(name, F.coalesce(before, F.lit(False)).cast("double"))

@@ -27,9 +27,20 @@ class Processor:
     metrics: tuple[str, ...]
 
 
+_last: tuple[np.ndarray, D.FrameConfig, dict[str, np.ndarray]] | None = None
+
+
+def _frames(x: np.ndarray, config: D.FrameConfig) -> dict[str, np.ndarray]:
+    """The frames of the clip at hand, classified once for all processors of one configuration."""
+    global _last
+    if _last is None or _last[0] is not x or _last[1] != config:
+        _last = (x, config, D.classify_frames(x, config))
+    return _last[2]
+
+
 def rain_processor(config: D.FrameConfig = D.FrameConfig()) -> Processor:
     def run(x: np.ndarray, params: Mapping[str, float]) -> dict[str, float]:
-        s = D.clip_summary(D.classify_frames(x, config), int(params.get("least_frames", config.least_frames)))
+        s = D.clip_summary(_frames(x, config), int(params.get("least_frames", config.least_frames)))
         return {"rain_drops": s["rain_frames"], "rain_share": s["rain_share"], "confidence": s["confidence"]}
 
     return Processor("rain", run, ("rain_drops", "rain_share", "confidence"))
@@ -37,7 +48,7 @@ def rain_processor(config: D.FrameConfig = D.FrameConfig()) -> Processor:
 
 def noise_processor(config: D.FrameConfig = D.FrameConfig()) -> Processor:
     def run(x: np.ndarray, params: Mapping[str, float]) -> dict[str, float]:
-        frames = D.classify_frames(x, config)
+        frames = _frames(x, config)
         noise = 10 * np.log10(D.suppress(frames, len(x), config)["noise"].mean(axis=1) + 1e-12)
         return {"floor_mean_db": float(noise.mean()), "floor_median_db": float(np.median(noise)), "rain_share": float((frames["frame_class"] == D.RAIN).mean())}
 
@@ -55,7 +66,8 @@ def process(clips: DataFrame, processors: Sequence[Processor], params: Mapping[s
     """All processors over every clip in one task, and prediction and mismatch against ``raining``.
 
     clips: key, clip and, if known, raining and error. Metrics are named <processor>__<metric>. Clips that
-    could not be loaded or processed stay, with nulls and the reason. Nothing is shuffled but the labels.
+    could not be loaded or processed stay, with nulls and the reason. Labels pass through the task beside their
+    clip, so nothing is shuffled, and rows of equal key stay apart.
     """
     if len({p.name for p in processors}) != len(processors):
         raise ValueError("processors need names of their own")
@@ -70,13 +82,12 @@ def process(clips: DataFrame, processors: Sequence[Processor], params: Mapping[s
         return out
 
     names = [f"{p.name}__{m}" for p in processors for m in p.metrics]
-    rest = [c for c in clips.columns if c in ("raining", "error")]
-    made = per_clip(clips, kernel, [(n, pa.float64(), "double") for n in names], key)
-    if not rest:
-        return made
-    made = made.withColumnRenamed("error", "__error").join(clips.select(key, *rest), key)
-    made = made.withColumn("error", F.coalesce(*([F.col("error")] if "error" in rest else []), F.col("__error"))).drop("__error")
-    if "raining" in rest and decides in names:
+    source = clips.withColumnRenamed("error", "load_error") if "error" in clips.columns else clips
+    keep = [c for c in ("raining", "load_error") if c in source.columns]
+    made = per_clip(source, kernel, [(n, pa.float64(), "double") for n in names], key, keep=keep)
+    if "load_error" in keep:
+        made = made.withColumn("error", F.coalesce("load_error", "error")).drop("load_error")
+    if "raining" in keep and decides in names:
         made = made.withColumn("predicted", F.col(decides) > threshold).withColumn("mismatch", F.col("predicted") != F.col("raining"))
     return made
 
@@ -97,11 +108,11 @@ def grid_search(spark: SparkSession, clips: DataFrame, grid: Mapping[str, Sequen
     def kernel(x: np.ndarray) -> dict:
         return {"decisions": [classify(x, {k: v for k, v in r.items() if k != "param_hash"}) for r in rows]}
 
-    made = per_clip(clips, kernel, [("decisions", pa.list_(pa.bool_()), "array<boolean>")], key).drop("error")
-    made = made.join(clips.select(key, "raining"), key).select(key, "raining", F.posexplode("decisions").alias("point", "predicted"))
+    made = per_clip(clips, kernel, [("decisions", pa.list_(pa.bool_()), "array<boolean>")], key, keep=["raining"])
+    made = made.select(key, "raining", F.posexplode("decisions").alias("point", "predicted"))
     scored = evaluation.confusion(made, "raining", "predicted", ["point"])
     names = spark.createDataFrame([(i, *[r[k] for k in points.columns]) for i, r in enumerate(rows)], ["point", *points.columns])
-    return scored.join(F.broadcast(names), "point").drop("point")
+    return scored.join(relational.small(names), "point").drop("point")
 
 
 def incremental_histograms(existing: DataFrame, clips: DataFrame, key: str = "source_file") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
@@ -180,7 +180,7 @@ SELECT threshold, least, count(*) AS users, count(*) FILTER (WHERE hits >= least
 FROM (SELECT user_id, threshold, least, count(*) FILTER (WHERE value > threshold) AS hits FROM events, g GROUP BY ALL) GROUP BY ALL""")
 def param_grid_cross(spark: SparkSession, d: str) -> DataFrame:
     grid = relational.parameter_grid(spark, {"threshold": [50, 150, 300], "least": [1, 2]})
-    rows = table(spark, d, "events").select("user_id", "value").crossJoin(F.broadcast(grid))  # a grid of parameters is a few rows
+    rows = table(spark, d, "events").select("user_id", "value").crossJoin(relational.small(grid))
     hits = rows.groupBy("user_id", "threshold", "least").agg(F.count_if(F.col("value") > F.col("threshold")).alias("hits"))
     return hits.groupBy("threshold", "least").agg(F.count("*").alias("users"), F.count_if(F.col("hits") >= F.col("least")).alias("positive")).select(F.col("threshold").cast("int").alias("threshold"), F.col("least").cast("int").alias("least"), "users", "positive")
 
@@ -495,8 +495,6 @@ def asymmetric_ema(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id, CASE WHEN count(*) OVER w < 10 THEN 0 ELSE round(quantile_cont(value, 0.3) OVER w, 6) END AS noise FROM events WINDOW w AS {_W} ROWS 29 PRECEDING)")
 def ring_buffer_quantile(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(-29, 0)
     return table(spark, d, "events").select("event_id", F.when(F.count("*").over(w) < 10, F.lit(0.0)).otherwise(F.round(F.percentile("value", 0.3).over(w), 6)).alias("noise"))
 
@@ -504,14 +502,16 @@ def ring_buffer_quantile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_N}, h AS (SELECT user_id, i, coalesce(x - lag(x) OVER (PARTITION BY user_id ORDER BY i) >= 150, false) AS hit FROM n)
 SELECT user_id, i, CAST(max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS 2 PRECEDING) AS DOUBLE) AS mask FROM h""")
 def hold_counter_mask(spark: SparkSession, d: str) -> DataFrame:
-    return _walked(table(spark, d, "events"), ORDER, "value", trackers.hold_mask(150.0, 2), "mask")
+    rows = trackers.with_hold_mask(table(spark, d, "events"), "value", KEY, ORDER, 150.0, 2, "mask")
+    return rows.select("user_id", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long").alias("i"), "mask")
 
 
 @query("""WITH m AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) FILTER (WHERE value > 100) AS wet FROM events GROUP BY ALL)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY h) AS i, CAST(coalesce(lag(wet) OVER (PARTITION BY user_id ORDER BY h) > 0, false) AS DOUBLE) AS "full" FROM m""")
 def duty_cycle_minutes(spark: SparkSession, d: str) -> DataFrame:
     hours = table(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count_if(F.col("value") > 100).alias("wet"))
-    return _walked(hours, ["h"], "wet", trackers.duty_cycle(), "full")
+    rows = trackers.with_duty_cycle(hours, "wet", KEY, ["h"], "full")
+    return rows.select("user_id", F.row_number().over(Window.partitionBy(*KEY).orderBy("h")).cast("long").alias("i"), "full")
 
 
 # -- detectors: kernels that SQL can't express; tests hold them against closed forms ------------------

@@ -75,7 +75,15 @@ _TYPES = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), *[pa.float64()] *
 
 def read_recordings(spark: SparkSession, path: str, glob: str = "*.{bin,wav}", compressed: Decoder | None = None) -> DataFrame:
     """Every recording under a path, one row each (see SCHEMA); no shuffle, one file in memory at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return decoded(_files(spark, path, glob), compressed)
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+
+def decoded(files: DataFrame, compressed: Decoder | None = None) -> DataFrame:
+    """Recordings of a table of (path, content), wherever the contents come from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,8 +95,17 @@ def read_recordings(spark: SparkSession, path: str, glob: str = "*.{bin,wav}", c
 
 
 def headers(spark: SparkSession, path: str, glob: str = "*.bin") -> DataFrame:
-    """Header fields alone."""
-    return read_recordings(spark, path, glob, lambda _: np.empty(0, np.int16)).drop("signal", "error")
+    """Header fields alone: the first bytes of each file go to Python, and the duration follows from its length."""
+    files = _files(spark, path, glob).select("path", F.substring("content", 1, HEADER.size).alias("content"), F.length("content").alias("bytes"))
+    rows = decoded(files.select("path", "content"), lambda _: np.empty(0, np.int16)).drop("signal", "error", "duration")
+    size = files.select(F.col("path").alias("source_file"), "bytes")
+    return rows.join(size, "source_file").withColumn("duration", _duration("bytes")).drop("bytes")
+
+
+def _duration(size: str) -> F.Column:
+    """Seconds of an uncompressed file of so many bytes, to two digits; null for compressed ones."""
+    samples = F.floor((F.col(size) - F.when(F.col("time").isNotNull(), HEADER.size).otherwise(0)) / 2)
+    return F.when(F.col("version") == 0, F.bround(samples / F.greatest("channels", F.lit(1)) / F.greatest("sample_rate", F.lit(1)), 2))
 
 
 def to_clips(recordings: DataFrame, rate: int = DEFAULT_RATE, seconds: float = 10.0, scale: float = C.PCM_SCALE) -> DataFrame:
