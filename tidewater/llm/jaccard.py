@@ -235,34 +235,59 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
     rows = members.join(groups.hint("merge"), ["g", "hub"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("lone_blocks", F.ceil(F.col("n_lone") / BLOCK))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     home = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    place = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
-    as_member = F.transform(numbers("lone_blocks"), lambda a: place(a, home("blocks"), 1))
-    as_lone = F.transform(numbers("blocks"), lambda b: place(home("lone_blocks"), b, 0))
+    place = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), kind.alias("kind"))
+    # a lone set's own block needs it once, as lone set and as member
+    as_member = F.transform(numbers("lone_blocks"), lambda a: place(a, home("blocks"), F.when(F.col("lone") & (a == home("lone_blocks")), 1).otherwise(2)))
+    as_lone = F.transform(F.filter(numbers("blocks"), lambda b: b != home("blocks")), lambda b: place(home("lone_blocks"), b, F.lit(0)))
     rows = rows.withColumn("at", F.explode(F.when(F.col("lone"), F.concat(as_lone, as_member)).otherwise(as_member)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+        held: dict[int, tuple] = {}  # lone sets by the width of their signatures
+        mine: list[tuple] = []  # those that are members of the block too, not yet tested
+        u: list[int] = []
+        v: list[int] = []
+
+        def test(doc: int, size: int, s: np.ndarray) -> None:
+            for width, (docs, sizes, words) in held.items():
+                if not isinstance(words, np.ndarray):
+                    docs, sizes, words = held[width] = np.array(docs), np.array(sizes), np.stack(words)
+                may = (differences(words, s[None, :]) <= _most(sizes, size, p, q)) & (docs != doc)
+                u.extend(np.minimum(docs[may], doc).tolist())
+                v.extend(np.maximum(docs[may], doc).tolist())
+
+        def test_mine() -> None:
+            for row in mine:
+                test(*row)
+            mine.clear()
+
+        def found() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["hub", "doc"])
+            u.clear()
+            v.clear()
+            return out
+
+        at = None
         for batch in batches:
-            u, v = [], []
-            for g, hub, a, b, kind, doc, size, is_lone, raw in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for g, hub, a, b, kind, doc, size, raw in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if at != (g, hub, a, b):
-                    at, held = (g, hub, a, b), {}
+                    test_mine()
+                    at = (g, hub, a, b)
+                    held.clear()
                 s = np.frombuffer(raw, np.uint64)
-                if not kind:  # lone sets come first, in lists by the width of their signatures
-                    for x, y in zip(held.setdefault(len(s), ([], [], [])), (doc, size, s), strict=True):
-                        x.append(y)
+                if kind == 2:  # after all lone sets
+                    test_mine()
+                    test(doc, size, s)
                     continue
-                for width, (docs, sizes, words) in held.items():
-                    if not isinstance(words, np.ndarray):
-                        docs, sizes, words = held[width] = np.array(docs), np.array(sizes), np.stack(words)
-                    may = differences(words, s[None, :]) <= _most(sizes, size, p, q)
-                    may &= (docs < doc) if is_lone else (docs != doc)
-                    u += np.minimum(docs[may], doc).tolist()
-                    v += np.maximum(docs[may], doc).tolist()
+                for x, y in zip(held.setdefault(len(s), ([], [], [])), (doc, size, s), strict=True):
+                    x.append(y)
+                if kind == 1:
+                    mine.append((doc, size, s))
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["hub", "doc"])
+                yield found()
+        test_mine()
+        yield found()
 
-    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "lone", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
+    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
     return rows.mapInArrow(run, "hub long, doc long").distinct()
 
 
