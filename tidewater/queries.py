@@ -614,3 +614,157 @@ def energy_pulse_list(spark: SparkSession, d: str) -> DataFrame:
 
     rows = detectors.energy_pulses(_clips(spark, d, 180))
     return rows.select("source_file", "rank", *[r6(F.col(c), c) for c in rows.columns[2:]])
+
+
+# -- sources, sinks and streams: written, read back and compared with the tables they came from --------
+
+
+def _recordings(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): each embedding as a recording in the device's container; odd ones big-endian, every fifth of half the length."""
+    import pyarrow as pa
+
+    from tidewater.sources import containers
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        for b in batches:
+            paths, contents = [], []
+            for k, pcm in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                samples = np.array(pcm[: 32 if k % 5 == 0 else 64], ">i2" if k % 2 else "<i2")
+                paths.append(f"r/{k}.bin")
+                contents.append(containers.pack_header(1_700_000_000 + k, 11162, big=bool(k % 2), device=f"d{k}") + samples.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    pcm = F.transform("embedding", lambda x: F.round(F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", pcm.alias("pcm")).mapInArrow(run, "path string, content binary")
+
+
+_PCM = """p AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 32 ELSE 64 END AS n,
+  list_transform(embedding, lambda x: CAST(round(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 32767) AS INTEGER))[1 : CASE WHEN vec_id % 5 = 0 THEN 32 ELSE 64 END] AS pcm FROM embeddings)"""
+
+
+@query(f"""WITH {_PCM} SELECT 'r/' || vec_id || '.bin' AS source_file, 'd' || vec_id AS device_id, 1700000000 + vec_id AS "at", 11162 AS sample_rate, 1 AS channels, 16 AS bit_depth,
+ CAST(vec_id % 2 AS INTEGER) AS endianness, 'pcm' AS format, n AS samples, CAST(list_sum(pcm) AS BIGINT) AS total, round(n / 11162.0, 2) AS duration FROM p""")
+def recordings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.sources import containers
+
+    rows = containers.decoded(_recordings(spark, d)).where("error IS NULL")
+    total = F.aggregate("signal", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("source_file", "device_id", F.unix_seconds("time").alias("at"), "sample_rate", "channels", "bit_depth", "endianness", "format", F.size("signal").alias("samples"), total.alias("total"), "duration")
+
+
+@query(f"""WITH {_PCM} SELECT 'r/' || vec_id || '.bin' AS source_file, CASE WHEN n = 64 THEN 64 END AS samples, CASE WHEN n = 64 THEN round(list_sum(pcm) / 32767.0, 6) END AS total,
+ CASE WHEN n < 64 THEN '32 samples, 64 wanted' END AS error FROM p""")
+def clips_from_recordings(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.sources import containers
+
+    clips = containers.to_clips(containers.decoded(_recordings(spark, d)), seconds=64.5 / 11162)
+    return clips.select("source_file", F.when(F.col("clip").isNotNull(), F.size("clip")).alias("samples"), r6(C.total("clip"), "total"), "error")
+
+
+@query("""SELECT vec_id, vec_id % 4 + 1 AS packets, 5 * (vec_id % 4 + 1) * (vec_id % 4 + 2) AS data_bytes, 128 * (vec_id % 4 + 1) AS frames,
+ 140 + (vec_id % 4 + 1) + 5 * (vec_id % 4 + 1) * (vec_id % 4 + 2) AS caf_bytes FROM embeddings""")
+def packets_to_caf(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of 10, 20, ... bytes, rewritten as a CAF file; its table and data chunks are read back."""
+    import pyarrow as pa
+
+    from tidewater.sources import compressed
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import struct
+
+        for b in batches:
+            rows = []
+            for k in b.column(0).to_pylist():
+                sizes = [10 * (i + 1) for i in range(k % 4 + 1)]
+                caf = compressed.to_caf(b"".join(bytes([n, 0, 1]) + bytes([k % 256]) * n for n in sizes))
+                at, chunks = 8, {}
+                while at < len(caf):
+                    kind, n = caf[at : at + 4], struct.unpack(">Q", caf[at + 4 : at + 12])[0]
+                    chunks[kind] = caf[at + 12 : at + 12 + n]
+                    at += 12 + n
+                count, frames = struct.unpack(">QQ", chunks[b"pakt"][:16])
+                rows.append((k, count, len(chunks[b"data"]) - 4, frames, len(caf)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["vec_id", "packets", "data_bytes", "frames", "caf_bytes"])
+
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long")).mapInArrow(run, "vec_id long, packets long, data_bytes long, frames long, caf_bytes long")
+
+
+@query("SELECT sink, doc_id, quality, toxic FROM labels, (VALUES ('csv'), ('json'), ('parquet')) v(sink)")
+def results_sinks(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.session import shared_folder
+    from tidewater.sources import sinks
+
+    at = shared_folder(spark, "sinks")
+    rows = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    sinks.write_results(rows, f"{at}/parquet", "doc_id", batch="one")
+    sinks.write_csv(rows, f"{at}/csv")
+    sinks.write_json(rows, f"{at}/json")
+    kinds = dict(rows.dtypes)
+    back = {"parquet": spark.read.parquet(f"{at}/parquet"), "csv": spark.read.option("header", True).csv(f"{at}/csv"), "json": sinks.read_results_json(spark, f"{at}/json")}
+    out = None
+    for name, df in back.items():
+        df = df.select(F.lit(name).alias("sink"), *[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns])
+        out = df if out is None else out.union(df)
+    return out
+
+
+@query("""SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)
+UNION ALL SELECT doc_id, 9 AS quality FROM documents WHERE n_chars > 1000""")
+def upsert_versions(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.session import shared_folder
+    from tidewater.sources import sinks
+
+    at = shared_folder(spark, "versions")
+    sinks.upsert_parquet(spark, table(spark, d, "labels").select("doc_id", "quality"), at, ["doc_id"])
+    sinks.upsert_parquet(spark, table(spark, d, "documents").where("n_chars > 1000").select("doc_id", F.lit(9).cast("int").alias("quality")), at, ["doc_id"])
+    return sinks.read_current(spark, at)
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(embedding[1], 6) AS first, round(embedding[64], 6) AS last FROM embeddings")
+def matrix_as_columns(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.sources import sinks
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.array(*[F.slice("embedding", 16 * k + 1, 16) for k in range(4)]).alias("m"))
+    whole = sinks.restore_matrix(sinks.spread_matrix(rows, "m", 4), "m").withColumn("m", F.flatten("m"))
+    return whole.select("vec_id", F.size("m").cast("long").alias("n"), r6(F.col("m")[0], "first"), r6(F.col("m")[63], "last"))
+
+
+@query("SELECT url AS source_file, contains(url, '/en/') AS raining FROM pages")
+def keys_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.session import shared_folder
+    from tidewater.sources import keys, sinks
+
+    at = shared_folder(spark, "keys")
+    sinks.write_csv(table(spark, d, "pages").select(F.col("url").alias("source_file"), F.col("url").contains("/en/").alias("raining")), at)
+    return keys.discover(spark, "csv", path=at)
+
+
+def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a stream, through an operator into a table, until all that is there is done."""
+    from tidewater.session import shared_folder
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = shared_folder(spark, "stream")
+    events = table(spark, d, "events")
+    out = make(spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))  # a pattern, since a file is no base folder
+    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(ORACLE_SQL["quantile_tracker"].replace("SELECT user_id, i, round(b, 6) AS baseline FROM t", "SELECT t.user_id, n.event_id, round(b, 6) AS baseline FROM t JOIN n ON n.user_id = t.user_id AND n.i = t.i"))
+def quantile_tracker_stream(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.streaming import frames
+
+    rows = _streamed(spark, d, lambda events: frames.baseline_stream(events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")))
+    return rows.select("user_id", "event_id", r6(F.col("baseline"), "baseline"))
+
+
+@query("""WITH m AS (SELECT user_id, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS until, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL)
+SELECT * FROM m WHERE until <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def telemetry_stream(spark: SparkSession, d: str) -> DataFrame:
+    from tidewater.streaming import frames
+
+    return _streamed(spark, d, frames.telemetry).select("user_id", "until", "n", F.round("total", 4).alias("total"), "most")
