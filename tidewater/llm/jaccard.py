@@ -247,11 +247,11 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
         u: list[int] = []
         v: list[int] = []
 
-        def test(doc: int, size: int, s: np.ndarray) -> None:
+        def test(doc: int, size: int, lone: bool, s: np.ndarray) -> None:
             for width, (docs, sizes, words) in held.items():
                 if not isinstance(words, np.ndarray):
                     docs, sizes, words = held[width] = np.array(docs), np.array(sizes), np.stack(words)
-                may = (differences(words, s[None, :]) <= _most(sizes, size, p, q)) & (docs != doc)
+                may = (differences(words, s[None, :]) <= _most(sizes, size, p, q)) & (docs < doc if lone else docs != doc)  # of two lone sets the greater is tested
                 u.extend(np.minimum(docs[may], doc).tolist())
                 v.extend(np.maximum(docs[may], doc).tolist())
 
@@ -268,7 +268,7 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
 
         at = None
         for batch in batches:
-            for g, hub, a, b, kind, doc, size, raw in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for g, hub, a, b, kind, doc, size, lone, raw in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if at != (g, hub, a, b):
                     test_mine()
                     at = (g, hub, a, b)
@@ -276,18 +276,18 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
                 s = np.frombuffer(raw, np.uint64)
                 if kind == 2:  # after all lone sets
                     test_mine()
-                    test(doc, size, s)
+                    test(doc, size, lone, s)
                     continue
                 for x, y in zip(held.setdefault(len(s), ([], [], [])), (doc, size, s), strict=True):
                     x.append(y)
                 if kind == 1:
-                    mine.append((doc, size, s))
+                    mine.append((doc, size, True, s))
             if u:
                 yield found()
         test_mine()
         yield found()
 
-    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
+    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "lone", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
     return rows.mapInArrow(run, "hub long, doc long").distinct()
 
 
