@@ -5,13 +5,15 @@
    hub. A batch sends a key on once, with the list of its sets.
 3. A pair is tested by signatures first. A signature holds the parity of the number of elements in each of its
    bits, so two sets differ in as many elements at least as their signatures in bits: what the test refuses
-   is not linked, and nothing is lost. What passes is verified on whole sets. A set that is linked with its
-   hub is done with it.
-4. Two other sets of a bucket may be linked with each other. That matters only if one of them is lone, not linked
-   with the hub. The lone sets of a group are tested against all its members by signatures, and what passes
-   is verified. A group with more than BLOCK lone sets is dealt out by elements first, those that the hub lacks before others:
-   linked sets share one in the prefixes of their orders, so sets that only share a passage with the hub part.
-5. The links make components by star contraction.
+   is not linked, and nothing is lost. What passes is verified on whole sets. With it goes, for each set of a
+   crowded bucket, the pair with the nearest lesser set of its block of the group, so a group of near copies
+   that are unlike the hub makes a few components after as many pairs as it has members.
+4. Two other sets of a bucket may be linked with each other. That matters only if they are not yet in one component.
+   In each group the sets outside its largest component are lone; they are tested against all members of other components
+   by signatures, and what passes is verified. A group with more than BLOCK lone sets is dealt out by elements first, those
+   that the hub lacks before others: linked sets share one in the prefixes of their orders, so sets that only share a
+   passage with the hub part.
+5. All links make components by star contraction.
 
 Signatures are a small share of the sets, and whole sets travel only for pairs that signatures let through, so
 the keys are the largest exchange. Joins whose sides grow with the input are all sorted and merged, whatever
@@ -227,12 +229,12 @@ def _verified(pairs: DataFrame, source: DataFrame, n: int, p: int, q: int, scrat
 
 
 def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
-    """(hub, doc) of lone sets and other members of their group that signatures let through.
+    """(hub, doc) of lone sets and members of other components of their group that signatures let through.
 
     Lone sets and members are cut into blocks; a task holds BLOCK lone sets and walks a block of members. No pair is
     written unless its signatures allow a link.
     """
-    rows = members.join(groups.hint("merge"), ["g", "hub"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("lone_blocks", F.ceil(F.col("n_lone") / BLOCK))
+    rows = members.join(groups.hint("merge"), ["g", "hub"]).withColumn("lone", F.col("component") != F.col("largest")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("lone_blocks", F.ceil(F.col("n_lone") / BLOCK))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     home = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     place = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), kind.alias("kind"))
@@ -247,11 +249,13 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
         u: list[int] = []
         v: list[int] = []
 
-        def test(doc: int, size: int, lone: bool, s: np.ndarray) -> None:
-            for width, (docs, sizes, words) in held.items():
+        def test(doc: int, size: int, component: int, lone: bool, s: np.ndarray) -> None:
+            for width, (docs, sizes, others, words) in held.items():
                 if not isinstance(words, np.ndarray):
-                    docs, sizes, words = held[width] = np.array(docs), np.array(sizes), np.stack(words)
-                may = (differences(words, s[None, :]) <= _most(sizes, size, p, q)) & (docs < doc if lone else docs != doc)  # of two lone sets the greater is tested
+                    docs, sizes, others, words = held[width] = np.array(docs), np.array(sizes), np.array(others), np.stack(words)
+                may = (differences(words, s[None, :]) <= _most(sizes, size, p, q)) & (others != component)
+                if lone:  # of two lone sets the greater is tested
+                    may &= docs < doc
                 u.extend(np.minimum(docs[may], doc).tolist())
                 v.extend(np.maximum(docs[may], doc).tolist())
 
@@ -268,7 +272,7 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
 
         at = None
         for batch in batches:
-            for g, hub, a, b, kind, doc, size, lone, raw in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for g, hub, a, b, kind, doc, size, component, lone, raw in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if at != (g, hub, a, b):
                     test_mine()
                     at = (g, hub, a, b)
@@ -276,24 +280,64 @@ def _lone_pairs(members: DataFrame, groups: DataFrame, p: int, q: int) -> DataFr
                 s = np.frombuffer(raw, np.uint64)
                 if kind == 2:  # after all lone sets
                     test_mine()
-                    test(doc, size, lone, s)
+                    test(doc, size, component, lone, s)
                     continue
-                for x, y in zip(held.setdefault(len(s), ([], [], [])), (doc, size, s), strict=True):
+                for x, y in zip(held.setdefault(len(s), ([], [], [], [])), (doc, size, component, s), strict=True):
                     x.append(y)
                 if kind == 1:
-                    mine.append((doc, size, True, s))
+                    mine.append((doc, size, component, True, s))
             if u:
                 yield found()
         test_mine()
         yield found()
 
-    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "lone", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
+    rows = rows.select("g", "hub", "at.a", "at.b", "at.kind", "doc", "size", "component", "lone", "signature").repartition("g", "hub", "a", "b").sortWithinPartitions("g", "hub", "a", "b", "kind")
     return rows.mapInArrow(run, "hub long, doc long").distinct()
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """(g, hub, n, n_lone) of groups with a lone set and another one."""
-    return members.groupBy("g", "hub").agg(F.count("*").alias("n"), F.count_if("lone").alias("n_lone")).where("n_lone > 0 AND n > 1")
+    """(g, hub, n, n_lone, largest) of groups of several components: the largest, and how many are outside it."""
+    parts = members.groupBy("g", "hub", "component").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("g", "hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    return groups.select("g", "hub", "n", (F.col("n") - F.col("top.n")).alias("n_lone"), F.col("top.component").alias("largest")).where("n_lone > 0")
+
+
+def _nearest(members: DataFrame, p: int, q: int) -> DataFrame:
+    """(hub, doc): for each set of a group, the lesser set of its block that is nearest by signatures, if they allow a link.
+
+    A set falls into other blocks in other groups, so blocks of near copies are joined by other groups' pairs.
+    """
+    groups = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    rows = members.join(groups.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("doc", "hub"), "blocks").alias("block"), "doc", "size", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}  # sets by the width of their signatures: how many, documents, sizes and signatures
+        for b in batches:
+            u, v = [], []
+            for hub, block, doc, size, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if at != (hub, block):
+                    at, held = (hub, block), {}
+                s = np.frombuffer(raw, np.uint64)
+                best = None
+                for n, docs, sizes, words in held.values():
+                    most = _most(sizes[:n], size, p, q)
+                    apart = differences(words[:n], s[None, :])
+                    ratio = np.where(apart <= most, apart / np.maximum(most, 1), 2.0)
+                    i = int(ratio.argmin())
+                    if ratio[i] <= 1 and (best is None or ratio[i] < best[0]):
+                        best = (ratio[i], int(docs[i]))
+                if best is not None:
+                    u.append(best[1])
+                    v.append(doc)
+                n, docs, sizes, words = held.get(len(s)) or (0, np.empty(4, np.int64), np.empty(4, np.int64), np.empty((4, len(s)), np.uint64))
+                if n == len(docs):
+                    docs, sizes, words = np.resize(docs, 2 * n), np.resize(sizes, 2 * n), np.resize(words, (2 * n, len(s)))
+                docs[n], sizes[n], words[n] = doc, size, s
+                held[len(s)] = (n + 1, docs, sizes, words)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["hub", "doc"])
+
+    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "doc").mapInArrow(run, "hub long, doc long")
 
 
 def _parts(members: DataFrame, groups: DataFrame, source: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
@@ -311,8 +355,8 @@ def _parts(members: DataFrame, groups: DataFrame, source: DataFrame, n: int, p:
     chosen = members.join(groups.select("g", "hub").hint("merge"), ["g", "hub"], "left_semi")
     sets = scratch.write(_sets(source, chosen, n), "part_sets")
     dealt = _beside_hub(chosen, sets, kernel, "g long, hub long, doc long, element long")
-    rows = dealt.join(chosen.select("g", "hub", "doc", "size", "lone", "signature").hint("merge"), ["g", "hub", "doc"])
-    return scratch.write(rows.select(F.xxhash64("g", "hub", "element").alias("g"), "hub", "doc", "size", "lone", "signature"), "parts")
+    rows = dealt.join(chosen.select("g", "hub", "doc", "size", "component", "signature").hint("merge"), ["g", "hub", "doc"])
+    return scratch.write(rows.select(F.xxhash64("g", "hub", "element").alias("g"), "hub", "doc", "size", "component", "signature"), "parts")
 
 
 def _all_links(source: DataFrame, index: DataFrame, n: int, p: int, q: int, scratch: Scratch) -> DataFrame:
@@ -320,8 +364,15 @@ def _all_links(source: DataFrame, index: DataFrame, n: int, p: int, q: int, scra
     pairs = scratch.write(_hub_pairs(source, n, p, q), "pairs")
     tested = scratch.write(_tested(pairs, index, p, q), "tested")
     scratch.drop("pairs")
-    links = _verified(tested.where("may").select("hub", "doc"), source, n, p, q, scratch, "linked")
-    members = tested.where("crowded").join(links.withColumn("is_linked", F.lit(True)).hint("merge"), ["hub", "doc"], "left").withColumn("lone", F.col("is_linked").isNull()).drop("is_linked").withColumn("g", F.col("hub"))
+    crowded = tested.where("crowded")
+    candidates = scratch.write(tested.where("may").select("hub", "doc").union(_nearest(crowded, p, q)).distinct(), "candidates")
+    links = _verified(candidates, source, n, p, q, scratch, "linked")
+    scratch.drop("candidates")
+    known = components(links.select(F.col("hub").alias("u"), F.col("doc").alias("v")), scratch)
+    known = known.withColumnRenamed("node", "doc").hint("merge")
+    members = crowded.join(known, "doc", "left").select(F.col("hub").alias("g"), "hub", "doc", "size", F.coalesce("component", "doc").alias("component"), "signature")
+    members = scratch.write(members, "members")
+    scratch.drop("tested")
     groups = scratch.write(_grouped(members), "groups")
     some, many = groups.where(F.col("n_lone") <= BLOCK), groups.where(F.col("n_lone") > BLOCK)
     beside = _lone_pairs(members, some, p, q)
@@ -329,7 +380,7 @@ def _all_links(source: DataFrame, index: DataFrame, n: int, p: int, q: int, scra
         parts = _parts(members, many, source, n, p, q, scratch)
         beside = beside.union(_lone_pairs(parts, _grouped(parts), p, q)).distinct()
     beside = scratch.write(beside, "beside")
-    scratch.drop("tested")
+    scratch.drop("members")
     if not beside.isEmpty():
         links = links.union(_verified(beside, source, n, p, q, scratch, "linked_beside"))
     return links.select(F.col("hub").alias("u"), F.col("doc").alias("v"))
