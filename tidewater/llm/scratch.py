@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,17 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Executions begun inside leave no shuffle files once they end; nothing that runs later reads them."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 class Scratch:
     """Written tables cut the lineage, so a lost executor costs only the tasks it ran."""
 
@@ -45,7 +59,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        with freed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _delete(self, path: str) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.kernels import BASE_A, binary, hash_words, pieces, signed
-from tidewater.llm.scratch import Scratch
+from tidewater.llm.scratch import Scratch, freed
 
 DEPTH = 3
 #: Occurrences that a state and a next symbol need, whatever the corpus.
@@ -37,6 +37,8 @@ DIVERGENCE = 30.0
 HEAD_SHARE = 1e-6
 #: Bits of the filter that strings pass before they are shuffled; its size is fixed.
 FILTER_BITS, CHUNK_BITS = 26, 19
+#: Parts in which the strings of all texts are shuffled to score, one after another.
+PASSES = 2
 #: Bytes of text whose tokens a task holds at once.
 BATCH = 3_000_000
 #: The end of a text, told from every word by its use alone.
@@ -149,14 +151,15 @@ def _filter(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros((1 << FILTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS - 3), np.uint8)
-    keys = keys.toDF("key").repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + CHUNK_BITS))
-    for r in keys.mapInArrow(pack, "chunk long, bits binary").collect():
-        out[r.chunk] |= np.frombuffer(r.bits, np.uint8)
+    with freed(keys.sparkSession):
+        keys = keys.toDF("key").repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + CHUNK_BITS))
+        for r in keys.mapInArrow(pack, "chunk long, bits binary").collect():
+            out[r.chunk] |= np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
 def _pair_counts(docs: DataFrame, sent: Broadcast, depth: int) -> DataFrame:
-    """(key, context, suffix, n) of the strings of depth + 1 words that occur PAIR_LEAST times at least.
+    """(suffix, context, n) of the strings of depth + 1 words that occur PAIR_LEAST times at least; the two tell a string.
 
     ``sent`` has the filters of contexts and of suffixes, of depth words; strings that do not pass are left out.
     """
@@ -169,10 +172,18 @@ def _pair_counts(docs: DataFrame, sent: Broadcast, depth: int) -> DataFrame:
             ok = np.flatnonzero(_passes(sent.value[0], context))
             ok = ok[_passes(sent.value[1], suffix[ok])]
             key, first, n = np.unique(key[ok], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(context[ok[first]])), pa.array(signed(suffix[ok[first]])), pa.array(n)], names=["key", "context", "suffix", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(suffix[ok[first]])), pa.array(signed(context[ok[first]])), pa.array(n)], names=["suffix", "context", "n"])
 
-    rows = _train(docs).mapInArrow(run, "key long, context long, suffix long, n long")
-    return rows.groupBy("key", "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
+    rows = _train(docs).mapInArrow(run, "suffix long, context long, n long")
+    return rows.groupBy("suffix", "context").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the hash of each whole string in the place of what its context has after its first word (the first column)."""
+    for b in batches:
+        short, context, suffix = (b.column(i).to_numpy().view(np.uint64) for i in range(3))
+        key = context * np.uint64(BASE_A) + (suffix - short * np.uint64(BASE_A))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *b.columns[1:]], names=["key", *b.schema.names[1:]])
 
 
 def _totals(counts: DataFrame) -> tuple[int, int]:
@@ -184,26 +195,34 @@ def _head_least(total: int) -> int:
     return max(2, int(np.ceil(HEAD_SHARE * total)))
 
 
-def grow(docs: DataFrame, counts: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
-    """The whole tree by depth, as written tables of next symbols and of states, from the training rows of docs (text, held_out).
+def grow(docs: DataFrame, counts: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """The whole tree by depth, as written tables, from the training rows of docs (text, held_out).
 
-    Next symbols of candidates: key, context, suffix, n, share (null where the context does not stay), log_p
-    (in the context) and adds (to the logarithm beyond what the context leaves to its suffix). States: key,
-    n, rest. A string without its first word occurs as often at least, and so does its context, so what the
-    suffix says of a next symbol is a row of the depth before.
+    Of candidates' next symbols: those of the head (key, context, suffix, n and share, null where the context does not
+    stay) and, where it stays, the others (key and adds, to the logarithm beyond what the context leaves to its suffix).
+    Of states: key, n, rest. A string without its first word occurs as often at least, and so does its context, so what
+    the suffix says of a next symbol is a row of the depth before, which goes when nothing reads it.
     """
     total, distinct = _totals(counts)
     if not total:
         return []
-    above = counts.where(F.col("n") >= PAIR_LEAST).select(F.col("h").alias("key"), "n", F.log((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("log_p"))
+    frequent = F.col("n") >= _head_least(total)
+    above = counts.where(F.col("n") >= PAIR_LEAST).select(F.col("h").alias("key"), F.lit(0).cast("long").alias("suffix"), "n", F.log((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("log_p"))
     found = []
     for depth in range(1, DEPTH + 1):
-        visits = above.where(F.col("n") >= CONTEXT_LEAST).select(F.col("key").alias("context"), F.col("n").alias("visits"))
+        visits = above.where(F.col("n") >= CONTEXT_LEAST).select(F.col("key").alias("context"), F.col("suffix").alias("short"), F.col("n").alias("visits"))
         expected = above.select(F.col("key").alias("suffix"), F.col("log_p").alias("log_e"))
         sent = docs.sparkSession.sparkContext.broadcast((_filter(visits.select("context")), _filter(expected.select("suffix"))))
-        pairs = _pair_counts(docs, sent, depth).join(expected, "suffix").join(visits, "context")
-        pairs = scratch.write(pairs.select("key", "context", "suffix", "n", "visits", "log_e"), f"pairs{depth}")
+        # each step is written, so its shuffle files go before the next one's come
+        pairs = scratch.write(_pair_counts(docs, sent, depth), f"counted{depth}")
         sent.destroy()
+        pairs = scratch.write(pairs.join(expected, "suffix"), f"expected{depth}")
+        scratch.drop(f"counted{depth}")
+        pairs = pairs.join(visits, "context").select("short", "context", "suffix", "n", "visits", "log_e").mapInArrow(_keyed, "key long, context long, suffix long, n long, visits long, log_e double")
+        pairs = scratch.write(pairs, f"pairs{depth}")
+        scratch.drop(f"expected{depth}")
+        if depth > 1:
+            scratch.drop(f"next{depth - 1}")
         of = pairs.groupBy("context").agg(
             F.max("visits").alias("n"),
             F.sum("n").alias("kept"),
@@ -218,14 +237,19 @@ def grow(docs: DataFrame, counts: DataFrame, scratch: Scratch) -> list[tuple[Dat
         states = scratch.write(states, f"states{depth}")
         rows = pairs.join(states.select(F.col("key").alias("context"), "rest", "bottom"), "context", "left").withColumn("share", F.col("n") / F.col("bottom"))
         log_p = F.when(F.col("share").isNull(), F.col("log_e")).otherwise(F.log(F.col("share") + F.col("rest") * F.exp("log_e")))
-        rows = rows.select("key", "context", "suffix", "n", "share", log_p.alias("log_p"), (log_p - F.col("log_e") - F.log("rest")).alias("adds"))
-        above = scratch.write(rows, f"next{depth}")
+        adds = F.when(~frequent, log_p - F.col("log_e") - F.log("rest"))
+        only = lambda name: F.when(frequent, F.col(name)).alias(name)
+        rows = scratch.write(rows.select("key", only("context"), "suffix", "n", only("share"), log_p.alias("log_p"), adds.alias("adds")), f"next{depth}")
         scratch.drop(f"pairs{depth}")
-        found.append((above, states))
+        known = scratch.write(rows.where(frequent).select("key", "context", "suffix", "n", "share"), f"head{depth}")
+        rest = scratch.write(rows.where(F.col("adds").isNotNull()).select("key", "adds"), f"adds{depth}")
+        above = rows.select("key", "suffix", "n", "log_p")
+        found.append((known, rest, states))
+    scratch.drop(f"next{DEPTH}")
     return found
 
 
-def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]]) -> Model:
+def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame, DataFrame]]) -> Model:
     """What is sent to tasks of a tree."""
     total, distinct = _totals(counts)
     least = _head_least(total)
@@ -237,7 +261,7 @@ def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]]) -> Model:
     # strings of a depth's length that can be states, with the state of their suffix and their first word
     key = model.hashes[(model.counts >= max(least, CONTEXT_LEAST)) & (model.hashes != END)]
     suffix, first = np.zeros(len(key), np.int64), key
-    for depth, (pairs, states) in enumerate(tree, 1):
+    for depth, (pairs, _, states) in enumerate(tree, 1):
         code = suffix * model.width + lookup(model.hashes, first)
         order = np.argsort(code)
         model.keys.append(code[order])
@@ -250,7 +274,7 @@ def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]]) -> Model:
         rest = np.ones(len(key))
         rest[place(column(t, "key"))] = t.column("rest").to_numpy()
         model.rest.append(rest)
-        t = pairs.where(F.col("n") >= least).select("key", "context", "suffix", "n", "share").toArrow()
+        t = pairs.toArrow()
         whole, context, short = (column(t, c) for c in ("key", "context", "suffix"))
         last = whole - context * np.uint64(BASE_A)
         share = t.column("share").to_numpy()
@@ -271,13 +295,13 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     return head(counts, grow(docs, counts, scratch))
 
 
-def _beyond(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame]], total: int) -> DataFrame:
+def _beyond(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame, DataFrame]], total: int) -> DataFrame:
     """(key, base, own) of what is not in the head: what a string adds to the log10 of both scores; base is null for all but words."""
     rare = F.col("n") < _head_least(total)
     parts = counts.where(rare & (F.col("h") != int(signed(np.array([END]))[0]))).select(F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("base"), F.log10(F.col("n") + 1).alias("own"))
     none, ten = F.lit(None).cast("double").alias("base"), float(np.log(10))
-    for pairs, states in tree:
-        parts = parts.unionAll(pairs.where(rare & F.col("adds").isNotNull()).select("key", none, (F.col("adds") / ten).alias("own")))
+    for _, adds, states in tree:
+        parts = parts.unionAll(adds.select("key", none, (F.col("adds") / ten).alias("own")))
         parts = parts.unionAll(states.where(rare).select("key", none, F.log10("rest").alias("own")))
     return parts
 
@@ -359,15 +383,22 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = scratch.write(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<long>, times array<long>"), "rows")
     sent.destroy()
     asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    found = (
-        asked.join(beyond, "key")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.col("base")).alias("more_base"),
-            F.sum(F.col("times") * F.col("own")).alias("more"),
-            F.sum(F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+    found = None
+    for k in range(PASSES):
+        chosen = F.pmod("key", F.lit(PASSES)) == k
+        part = (
+            asked.where(chosen)
+            .join(beyond.where(chosen), "key")
+            .groupBy("row")
+            .agg(
+                F.sum(F.col("times") * F.col("base")).alias("more_base"),
+                F.sum(F.col("times") * F.col("own")).alias("more"),
+                F.sum(F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+            )
         )
-    )
+        part = scratch.write(part, f"scored{k}")
+        found = part if found is None else found.unionAll(part)
+    found = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more_base", "more", "more_known")))
     return rows.drop("rare", "times").join(found, "row", "left").select(
         "doc_id",
         "held_out",
