@@ -37,8 +37,8 @@ DIVERGENCE = 30.0
 HEAD_SHARE = 1e-6
 #: Bits of the filter that strings pass before they are shuffled; its size is fixed.
 FILTER_BITS, CHUNK_BITS = 26, 19
-#: Parts in which the strings of all texts are shuffled to score, one after another.
-PASSES = 2
+#: Parts, by their hashes, in which the strings of all texts are shuffled to score, one after another.
+PASSES = 8
 #: Bytes of text whose tokens a task holds at once.
 BATCH = 3_000_000
 #: The end of a text, told from every word by its use alone.
@@ -353,6 +353,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     beyond = _beyond(counts, tree, model.total)
     model.beyond = _filter(beyond.select("key"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    parts = [f"{name}{k}" for k in range(PASSES) for name in ("rare", "times")]  # a pass reads its own columns alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -360,35 +361,29 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             if not b.num_rows:
                 continue
             size, known, base, own, rare, doc = _local(sent.value, binary(b.column(1)))
-            key = np.stack([doc.astype(np.uint64), rare], axis=1)
-            order = np.lexsort((rare, doc))
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.empty(0, np.int64)
-            times = np.diff(np.r_[first, len(key)])
-            offsets = np.searchsorted(key[first, 0] if len(key) else np.empty(0, np.uint64), np.arange(b.num_rows + 1).astype(np.uint64)).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + b.num_rows)),
-                    b.column(0),
-                    b.column(2),
-                    *(pa.array(x) for x in (size, known, base, own)),
-                    lists(signed(key[first, 1]) if len(key) else np.empty(0, np.int64)),
-                    lists(times.astype(np.int64)),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "rare", "times"],
-            )
+            part = rare % np.uint64(PASSES)
+            order = np.lexsort((rare, doc, part))
+            rare, doc, part = rare[order], doc[order], part[order]
+            first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])]) if len(rare) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(rare)]).astype(np.int64)
+            rare, doc, part = rare[first], doc[first], part[first]
+            cuts = np.searchsorted(part, np.arange(PASSES + 1).astype(np.uint64))
+            lists: list[pa.Array] = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                offsets = pa.array(np.searchsorted(doc[x:y], np.arange(b.num_rows + 1)).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(offsets, pa.array(values[x:y])) for values in (signed(rare), times)]
+            columns = [pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(2), *(pa.array(x) for x in (size, known, base, own)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", *parts])
             row += b.num_rows
 
-    rows = scratch.write(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<long>, times array<long>"), "rows")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, " + ", ".join(f"{c} array<long>" for c in parts)
+    rows = scratch.write(docs.mapInArrow(run, schema), "rows")
     sent.destroy()
-    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = None
     for k in range(PASSES):
-        chosen = F.pmod("key", F.lit(PASSES)) == k
+        asked = rows.select("row", F.explode(F.arrays_zip(F.col(f"rare{k}").alias("key"), F.col(f"times{k}").alias("times"))).alias("x")).select("row", "x.key", "x.times")
         part = (
-            asked.where(chosen)
-            .join(beyond.where(chosen), "key")
+            asked.join(beyond.where(F.pmod("key", F.lit(PASSES)) == k), "key")
             .groupBy("row")
             .agg(
                 F.sum(F.col("times") * F.col("base")).alias("more_base"),
@@ -399,7 +394,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         part = scratch.write(part, f"scored{k}")
         found = part if found is None else found.unionAll(part)
     found = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more_base", "more", "more_known")))
-    return rows.drop("rare", "times").join(found, "row", "left").select(
+    return rows.drop(*parts).join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
