@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +50,9 @@ def freed(spark: SparkSession) -> Iterator[None]:
 class Scratch:
     """Written tables cut the lineage, so a lost executor costs only the tasks it ran."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, free: bool = False):
+        """With free, shuffle files go as soon as the table that needed them is written."""
+        self.spark, self.free = spark, free
         self.root = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -59,7 +60,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        with freed(self.spark):
+        with freed(self.spark) if self.free else nullcontext():
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -291,7 +291,7 @@ def head(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame, DataFrame]])
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """The head of the tree of docs (text, held_out), from their word counts."""
-    scratch = Scratch(docs.sparkSession, "suffix_tree")
+    scratch = Scratch(docs.sparkSession, "suffix_tree", free=True)
     return head(counts, grow(docs, counts, scratch))
 
 
@@ -345,7 +345,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     null or blank text is its end alone. Without training rows every token has probability 1 under
     both. Rows of equal doc_id are scored each; a null held_out counts as false. Extra columns are ignored.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "suffix_tree")
+    scratch = scratch or Scratch(docs.sparkSession, "suffix_tree", free=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     counts = scratch.write(word_counts(docs), "counts")
     tree = grow(docs, counts, scratch)
