@@ -412,6 +412,24 @@ def test_leaks_at_ends_and_edges(spark):
     assert got[4, 102] == (0, 15, 15) and got[5, 102] == (1, 13, 13) and got[8, 103] == (0, 16, 16) and got[3, 102] == (1, 16, 13)
 
 
+def test_near_copies_unlike_their_hub_make_few_pairs(spark):
+    """A group of near copies: at most one pair for each set comes first, and components that are known make no more."""
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(63) for _ in range(200)]
+    rows, component = [], 10
+    for doc in range(10, 90):
+        s = np.unique(np.array([*base, *(rnd.getrandbits(63) for _ in range(4))], np.uint64))
+        rows.append((1, 1, doc, len(s), component, bytearray(jaccard.signature(s))))
+    members = spark.createDataFrame(rows, "g long, hub long, doc long, size long, component long, signature binary")
+    near = jaccard._nearest(members, 80, 100).collect()
+    assert sorted(r.doc for r in near) == list(range(11, 90)) and all(r.hub < r.doc for r in near)
+    assert jaccard._grouped(members).isEmpty()
+    apart = members.withColumn("component", F.when(F.col("doc") == 50, 50).otherwise(F.col("component")))
+    groups = jaccard._grouped(apart)
+    assert [(r.n, r.n_lone, r.largest) for r in groups.collect()] == [(80, 1, 10)]
+    assert sorted((r.hub, r.doc) for r in jaccard._lone_pairs(apart, groups, 80, 100).collect()) == sorted((min(50, d), max(50, d)) for d in range(10, 90) if d != 50)
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 
