@@ -45,11 +45,12 @@ def lowest_mean(value: str, key: Names, order: Names, around: int, share: int =
     return F.aggregate(low, F.lit(0.0), lambda a, v: a + v) / F.size(low)
 
 
-def signal_to_noise(value: str, key: Names, order: Names, around: int) -> Column:
-    """Value over its local mean; a local mean of 0 or less counts as a fifth of the greatest value, a value of 0 as 1."""
+def signal_to_noise(value: str, key: Names, order: Names, around: int, zero: float | None = 1.0) -> Column:
+    """Value over its local mean; a local mean of 0 or less counts as a fifth of the greatest value, a value of 0 as ``zero`` if given."""
     local = lowest_mean(value, key, order, around)
     most = F.max(value).over(Window.partitionBy(*key))
-    return F.when(F.col(value) == 0, F.lit(1.0)).otherwise(F.col(value)) / F.when(local <= 0, most / 5).otherwise(local)
+    level = F.col(value) if zero is None else F.when(F.col(value) == 0, F.lit(zero)).otherwise(F.col(value))
+    return level / F.when(local <= 0, most / 5).otherwise(local)
 
 
 def min_neighbour(value: str, key: Names, order: Names, around: int) -> Column:
