@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, components, decontamination, fingerprints, jaccard, kernels, partitions, substrings, suffix_tree, token_files, toxicity, url_filters
+from tidewater.llm import bpe, chat, components, decontamination, fingerprints, jaccard, kernels, partitions, substrings, suffix_parts, suffix_tree, token_files, toxicity, url_filters
 from tidewater.llm.queries import PATTERN, RANKS, WORD_BPE
 from tidewater.llm.scratch import Scratch
 
@@ -531,6 +531,37 @@ def test_suffix_tree_grows_with_the_corpus(spark, monkeypatch, head):
     assert sum(rows[i].score for i in range(72, 80)) > 0.6 * sum(rows[i].base_score for i in range(72, 80))
 
 
+def test_suffix_tree_in_parts(spark, monkeypatch):
+    """Many chunks and parts, and words so frequent that several parts have them, give the tree of the whole corpus."""
+    monkeypatch.setattr(suffix_parts, "WINDOWS", 600)
+    monkeypatch.setattr(suffix_parts, "CHUNK", 500)
+    rnd = random.Random(9)
+    lines = [_words(rnd, 8, 12) for _ in range(25)]
+    texts = [" ".join(f"The {rnd.choice(lines)} the of" if rnd.random() < 0.7 else _words(rnd, 5) for _ in range(12)) for _ in range(69)]
+    texts += ["x " * 5000, None, "", "never seen w1 the of", *lines[:8]]
+    held = [i % 7 == 2 or i > 72 for i in range(len(texts))]
+    docs = _docs(spark, texts).withColumn("held_out", (F.col("doc_id") % 7 == 2) | (F.col("doc_id") > 72))
+    want, states = _tree_by_hand(texts, held)
+    assert {len(s) for s in states} == {1, 2, 3} and ("the",) in states
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs).collect()}
+    assert len(got) == len(texts)
+    for i, score in got.items():
+        assert abs(score - want[i]) < 1e-6 * max(1, -want[i])
+
+
+def test_suffix_tree_shuffles_no_row_a_string(spark):
+    """Strings travel in packed blocks: rows of all shuffles are far fewer than tokens, their bytes a few a token."""
+    rnd = random.Random(10)
+    docs = _docs(spark, [_words(rnd, 500, 3000) for _ in range(400)]).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    stages = lambda: {(s.stageId(), s.attemptId()): s for s in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = stages()
+    tokens = suffix_tree.score(docs).groupBy().sum("n_tokens").first()[0]
+    new = [s for k, s in stages().items() if k not in before]
+    assert tokens == 400 * 501
+    assert 0 < sum(s.shuffleWriteRecords() for s in new) < tokens / 10
+    assert sum(s.shuffleWriteBytes() for s in new) < 25 * tokens
+
+
 def test_suffix_tree_odd_tables(spark):
     docs = _docs(spark, ["a b", None, "a"], [1, None, 1]).withColumn("held_out", F.lit(True))
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in suffix_tree.score(docs).collect()) == [("1", 2, 0, 0, 0.0), ("1", 3, 0, 0, 0.0), ("None", 1, 0, 0, 0.0)]

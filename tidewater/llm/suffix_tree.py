@@ -7,12 +7,10 @@ DIVERGENCE. A state keeps the next symbols that follow it PAIR_LEAST times at le
 mass, and a Witten-Bell share, goes to the next shorter state, and at the root to the smoothed unigram
 distribution. A token is scored in the longest state that is a suffix of the words before it.
 
-The tree stands in written tables. Its head, strings of at least HEAD_SHARE of the training tokens, is sent
-to every task, at most 1 / HEAD_SHARE strings of a length. The rest is joined: the logarithm of a token's
-probability is a sum over the strings that end at it (what a next symbol adds) and before it (what a state
-leaves to the shorter one), so a task writes down which strings beyond the head a text may hold, and a join
-brings what each adds. Bits of a fixed number keep strings out that are in no table; they lose none. Words
-and strings are known by 64-bit hashes.
+``score`` grows and asks the tree in parts of the words (see ``suffix_parts``) and keeps no table of it. ``grow``
+writes the same tree down by depth, and ``fit`` gives its head, strings of at least HEAD_SHARE of the training
+tokens, at most 1 / HEAD_SHARE strings of a length. Bits of a fixed number keep strings out that are in no
+table; they lose none. Words are known by 64-bit hashes, strings of the tables too.
 """
 
 from __future__ import annotations
@@ -22,10 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import suffix_parts
 from tidewater.llm.kernels import BASE_A, binary, hash_words, pieces, signed
 from tidewater.llm.scratch import Scratch, freed
 
@@ -33,12 +32,10 @@ DEPTH = 3
 #: Occurrences that a state and a next symbol need, whatever the corpus.
 CONTEXT_LEAST, PAIR_LEAST = 4, 2
 DIVERGENCE = 30.0
-#: Strings of this share of the training tokens are sent to tasks, the others are joined.
+#: Strings of this share of the training tokens are the head.
 HEAD_SHARE = 1e-6
 #: Bits of the filter that strings pass before they are shuffled; its size is fixed.
 FILTER_BITS, CHUNK_BITS = 26, 19
-#: Parts, by their hashes, in which the strings of all texts are shuffled to score, one after another.
-PASSES = 8
 #: Bytes of text whose tokens a task holds at once.
 BATCH = 3_000_000
 #: The end of a text, told from every word by its use alone.
@@ -295,17 +292,6 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     return head(counts, grow(docs, counts, scratch))
 
 
-def _beyond(counts: DataFrame, tree: list[tuple[DataFrame, DataFrame, DataFrame]], total: int) -> DataFrame:
-    """(key, base, own) of what is not in the head: what a string adds to the log10 of both scores; base is null for all but words."""
-    rare = F.col("n") < _head_least(total)
-    parts = counts.where(rare & (F.col("h") != int(signed(np.array([END]))[0]))).select(F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("base"), F.log10(F.col("n") + 1).alias("own"))
-    none, ten = F.lit(None).cast("double").alias("base"), float(np.log(10))
-    for _, adds, states in tree:
-        parts = parts.unionAll(adds.select("key", none, (F.col("adds") / ten).alias("own")))
-        parts = parts.unionAll(states.where(rare).select("key", none, F.log10("rest").alias("own")))
-    return parts
-
-
 def _local(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """By text: tokens, those the head knows, base and model log10 probability by the head; and the strings to ask for, with their texts."""
     h, size = batch_tokens(texts)
@@ -347,59 +333,4 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession, "suffix_tree", free=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    counts = scratch.write(word_counts(docs), "counts")
-    tree = grow(docs, counts, scratch)
-    model = head(counts, tree)
-    beyond = _beyond(counts, tree, model.total)
-    model.beyond = _filter(beyond.select("key"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    parts = [f"{name}{k}" for k in range(PASSES) for name in ("rare", "times")]  # a pass reads its own columns alone
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for b in pieces(batches, BATCH):
-            if not b.num_rows:
-                continue
-            size, known, base, own, rare, doc = _local(sent.value, binary(b.column(1)))
-            part = rare % np.uint64(PASSES)
-            order = np.lexsort((rare, doc, part))
-            rare, doc, part = rare[order], doc[order], part[order]
-            first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])]) if len(rare) else np.empty(0, np.int64)
-            times = np.diff(np.r_[first, len(rare)]).astype(np.int64)
-            rare, doc, part = rare[first], doc[first], part[first]
-            cuts = np.searchsorted(part, np.arange(PASSES + 1).astype(np.uint64))
-            lists: list[pa.Array] = []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                offsets = pa.array(np.searchsorted(doc[x:y], np.arange(b.num_rows + 1)).astype(np.int32))
-                lists += [pa.ListArray.from_arrays(offsets, pa.array(values[x:y])) for values in (signed(rare), times)]
-            columns = [pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(2), *(pa.array(x) for x in (size, known, base, own)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", *parts])
-            row += b.num_rows
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, " + ", ".join(f"{c} array<long>" for c in parts)
-    rows = scratch.write(docs.mapInArrow(run, schema), "rows")
-    sent.destroy()
-    found = None
-    for k in range(PASSES):
-        asked = rows.select("row", F.explode(F.arrays_zip(F.col(f"rare{k}").alias("key"), F.col(f"times{k}").alias("times"))).alias("x")).select("row", "x.key", "x.times")
-        part = (
-            asked.join(beyond.where(F.pmod("key", F.lit(PASSES)) == k), "key")
-            .groupBy("row")
-            .agg(
-                F.sum(F.col("times") * F.col("base")).alias("more_base"),
-                F.sum(F.col("times") * F.col("own")).alias("more"),
-                F.sum(F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-            )
-        )
-        part = scratch.write(part, f"scored{k}")
-        found = part if found is None else found.unionAll(part)
-    found = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more_base", "more", "more_known")))
-    return rows.drop(*parts).join(found, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    return suffix_parts.scores(docs, scratch, END, DEPTH, (CONTEXT_LEAST, PAIR_LEAST), DIVERGENCE)
