@@ -149,6 +149,55 @@ def test_words_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+class _Counting:
+    """A tokenizer that counts the calls made to it."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        found = getattr(self.tokenizer, name)
+        if not callable(found):
+            return found
+        self.calls += 1
+        return found
+
+
+def test_new_words_take_few_calls_of_the_tokenizer():
+    rnd = random.Random(5)
+    some = list({"".join(rnd.choice("aeiouäéñlrstnÅŒ") for _ in range(9)) + rnd.choice(["", ".", "!?", "***"]) for _ in range(5000)})
+    w = token_files.Words(WORD_BPE)
+    w.tokenizer = _Counting(w.tokenizer)
+    ids = w.encode([" ".join(some[:2500]).encode(), " ".join(some[2500:]).encode()])
+    assert w.tokenizer.calls <= 20
+    t = w.tokenizer.tokenizer
+    for text, found in zip((some[:2500], some[2500:]), ids):
+        assert np.frombuffer(found, "<u4").tolist() == t.encode(" ".join(text), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("how", ["usual", "no ends of words", "no folds", "small groups, little kept"])
+def test_words_of_letters_equal_whole_texts(how, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, rnd = Tokenizer.from_file(WORD_BPE), random.Random(4)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    some = [f"{c} {c}. a{c}b! {c}'s {c}'{c} .{c} {c}\u0301 {c}1 _{c}_" for c in letters]
+    some += [" ".join("".join(rnd.choices(letters, k=rnd.randrange(4))) + "".join(rnd.choices(marks, k=rnd.randrange(3))) for _ in range(30)) for _ in range(300)]
+    some += ["", " ", "a\u0328 क़. Å! ﬁ. İ. i̇. \xa0 \u3000 x\u3000y", "A<|endoftext|> <|startoftext|>!"]
+    if how.startswith("small"):
+        monkeypatch.setattr(token_files, "GROUP", 7)
+        monkeypatch.setattr(token_files, "KEPT_WORDS", 5)
+        monkeypatch.setattr(token_files, "LONG", 20)
+    w = token_files.Words(WORD_BPE, folds=how != "no folds")
+    if how.startswith("no ends"):
+        w.last[:] = False
+    found = [x for k in range(0, len(some), 100) for x in w.encode([x.encode() for x in some[k : k + 100]])]
+    for text, ids in zip(some, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert w.encode([]) == [] and w.encode([b"", b" "]) == [b"", b""]
+
+
 # -- 3 ------------------------------------------------------------------------------------------------
 
 
